@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, tokens
+from . import mixing, packing, pii, simhash, tokens, toxicity
 from ._common import table
 
 
@@ -18,14 +18,37 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = [F.size(F.array_remove(F.transform("_base", lambda s: s["kind"] == F.lit(k)), False)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    every = pii.spans_text(F.concat("_base", "_found"))
+    return found.select("doc_id", *n, F.sha2(pii.spans_text(F.col("_base")), 256).alias("base_sha256"), every.alias("spans"), F.size("_found").cast("long").alias("n_added"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = mixing.mix(table(spark, sf_dir, "documents"))
+    whole = pieces.groupBy("doc_id", "source", "copy", "size", "source_size", "target").agg(F.sum("words").cast("long").alias("taken"), F.count("shard").alias("n_pieces"))
+    return whole.select("doc_id", "size", "source_size", "target", "taken", "n_pieces")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
+    "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
+    "op6_toxicity": op6_toxicity,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
