@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, simhash, tokens, toxicity
+from . import ann, chat, html, imatch, mixing, packing, pii, simhash, tokens, toxicity
 from ._common import table
 
 
@@ -18,6 +18,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = [F.size(F.array_remove(F.transform("_base", lambda s: s["kind"] == F.lit(k)), False)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
@@ -36,19 +40,76 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = chat.formatted(chat.worsened(table(spark, sf_dir, "conversations")))
+    part, size = F.col("part"), F.char_length("rendered")
+    chars = [F.coalesce(F.sum(F.when(part == p, size)), F.lit(0)).cast("long").alias(f"{p}_chars") for p in ("prompt", "chosen", "rejected")]
+    trained = [F.coalesce(F.sum(F.when(F.col("train") & (part == p), F.col("train_to") - F.col("train_from"))), F.lit(0)).cast("long").alias(f"{p}_trained") for p in ("chosen", "rejected")]
+    turns = F.sum((part == "prompt").cast("long")).alias("prompt_turns")
+    first = F.conv(F.substring(F.md5(F.concat_ws(":", part, F.col("turn").cast("string"), "rendered").cast("binary")), 1, 8), 16, 10)
+    digest = F.sum(first.cast("long")).alias("rendered_md5_sum")
+    return segments.groupBy(F.col("pair_id").alias("conv_id")).agg(turns, *chars, *trained, digest)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = mixing.mix(table(spark, sf_dir, "documents"))
     whole = pieces.groupBy("doc_id", "source", "copy", "size", "source_size", "target").agg(F.sum("words").cast("long").alias("taken"), F.count("shard").alias("n_pieces"))
     return whole.select("doc_id", "size", "source_size", "target", "taken", "n_pieces")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
+    "op3_imatch": op3_imatch,
     "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
+    "op7_preference": op7_preference,
     "op8_mixing": op8_mixing,
+    "op9_neighbours": op9_neighbours,
+    "op10_html": op10_html,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP7_SQL = """
+WITH last AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+bad AS (
+  SELECT c.conv_id, c.turn, c.role,
+         CASE WHEN c.turn = l.last THEN array_to_string(list_reverse(string_split(c.text, ' ')), ' ') ELSE c.text END AS text
+  FROM conversations c LEFT JOIN last l USING (conv_id)),
+differs AS (
+  SELECT c.conv_id, min(c.turn) AS first FROM conversations c JOIN bad b USING (conv_id, turn)
+  WHERE c.text IS DISTINCT FROM b.text GROUP BY c.conv_id),
+parts AS (
+  SELECT c.conv_id, c.turn, c.role, c.text,
+         CASE WHEN d.first IS NULL OR c.turn < d.first THEN 'prompt' ELSE 'chosen' END AS part
+  FROM conversations c LEFT JOIN differs d USING (conv_id)
+  UNION ALL
+  SELECT b.conv_id, b.turn, b.role, b.text, 'rejected' FROM bad b JOIN differs d USING (conv_id) WHERE b.turn >= d.first),
+segments AS (
+  SELECT conv_id, turn, part, role,
+         '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS rendered,
+         length(coalesce(text, '')) + 8 AS trained
+  FROM parts)
+SELECT conv_id,
+       CAST(count(*) FILTER (part = 'prompt') AS BIGINT) AS prompt_turns,
+       CAST(coalesce(sum(length(rendered)) FILTER (part = 'prompt'), 0) AS BIGINT) AS prompt_chars,
+       CAST(coalesce(sum(length(rendered)) FILTER (part = 'chosen'), 0) AS BIGINT) AS chosen_chars,
+       CAST(coalesce(sum(length(rendered)) FILTER (part = 'rejected'), 0) AS BIGINT) AS rejected_chars,
+       CAST(coalesce(sum(trained) FILTER (part = 'chosen' AND role = 'assistant'), 0) AS BIGINT) AS chosen_trained,
+       CAST(coalesce(sum(trained) FILTER (part = 'rejected' AND role = 'assistant'), 0) AS BIGINT) AS rejected_trained,
+       CAST(sum(CAST('0x' || substr(md5(part || ':' || turn || ':' || rendered), 1, 8) AS BIGINT)) AS BIGINT) AS rendered_md5_sum
+FROM segments GROUP BY conv_id
+"""
+
+#: The other operators (tokenisation, hashing, fitted models, seeded draws) have no SQL form; the tests
+#: hold them against brute force, exact round trips or held-out labels.
+ORACLE_SQL = {"op7_preference": OP7_SQL}
