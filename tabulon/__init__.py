@@ -1 +1 @@
-"""Labelled tables on Spark."""
+"""Labelled tables on Spark: ``import tabulon.api as tb``."""

@@ -1,0 +1 @@
+"""Relational operators behind the labelled tables: aggregates, joins, reshaping, set operations."""

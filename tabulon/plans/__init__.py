@@ -1,0 +1 @@
+"""Plan building blocks: cut lineage, dense positions, windows over ordered blocks."""

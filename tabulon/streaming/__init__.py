@@ -1,0 +1 @@
+"""The tables have no streaming operators; a streaming DataFrame is refused and foreachBatch is the way in."""
