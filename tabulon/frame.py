@@ -122,7 +122,7 @@ class Frame(_Named):
         return [F.asc_nulls_first(c) for c in self._order]
 
     def _new(self, **changes) -> "Frame":
-        return Frame(_state=self._s | changes)
+        return Frame(_state=self._s | ({"origin": None} if "df" in changes else {}) | changes)
 
     def _select(self, columns: dict, df: DataFrame | None = None) -> "Frame":
         """The same rows with other data columns: label -> Column."""
@@ -132,7 +132,15 @@ class Frame(_Named):
         df = self.df if df is None else df
         extra = [F.col(f"`{c}`").alias(h) for c, h in hidden.items() if h != c]
         out = df.select(*[F.col(f"`{k}`") for k in kept], *extra, *[c.alias(physical(k)) for k, c in columns.items()])
-        return self._new(df=out, labels=list(columns), cols=names, order=[hidden[c] for c in self._order])
+        origin = (self.df, dict(columns)) if df is self.df else None
+        return self._new(df=out, labels=list(columns), cols=names, order=[hidden[c] for c in self._order], origin=origin)
+
+    def _over(self, base: "Frame") -> "Frame | None":
+        """label -> series over *base*'s table, if this is that table or made from it column by column."""
+        if self.df is base.df:
+            return {x: self._series(x) for x in self._labels}
+        table, made = self._s.get("origin") or (None, {})
+        return {x: Series(base, c, x) for x, c in made.items()} if table is base.df else None
 
     def _rows(self, df: DataFrame) -> "Frame":
         """The same columns over other rows."""
@@ -144,7 +152,7 @@ class Frame(_Named):
         raise KeyError(label)
 
     def _series(self, label) -> "Series":
-        return Series(self, F.col(f"`{self._where_label(label)}`"), label)
+        return Series(self._new(), F.col(f"`{self._where_label(label)}`"), label)  # a series keeps the state it was taken from
 
     def _each(self, only=None) -> list["Series"]:
         return [s for s in map(self._series, self._labels) if only is None or only(s.kind)]
@@ -183,7 +191,7 @@ class Frame(_Named):
         if isinstance(key, slice):
             return self.iloc[key] if isinstance(key.start, int) or isinstance(key.stop, int) else self.loc[key]
         if isinstance(key, (list, pd.Index, np.ndarray)):
-            return self._select({k: F.col(f"`{self._where_label(k)}`") for k in key})
+            return self._new(labels=list(key), cols=[self._where_label(k) for k in key])  # the same table, so operands still fit
         if key not in self._labels and any(isinstance(x, tuple) and x[0] == key for x in self._labels):
             inner = {x[1:] if len(x) > 2 else x[1]: F.col(f"`{self._where_label(x)}`") for x in self._labels if isinstance(x, tuple) and x[0] == key}
             return self._select(inner)
@@ -215,6 +223,10 @@ class Frame(_Named):
         """Columns added or replaced; series of other tables join on the index, all in one go."""
         new = {k: v(self) if callable(v) and not isinstance(v, (Series, Column)) else v for k, v in new.items()}
         foreign = {k: v for k, v in new.items() if isinstance(v, Series) and v._frame.df is not self.df}
+        table, made = self._s.get("origin") or (None, {})
+        if foreign and len(foreign) == len(new) and all(v._frame.df is table for v in foreign.values()):
+            first = next(iter(foreign.values()))._frame  # taken before the last assignment: both are columns of that table
+            return first._select(made | {k: v.col for k, v in foreign.items()})
         frame, found = _aligned(self, list(foreign.values()), "left") if foreign else (self, [])
         new |= dict(zip(foreign, found))
         cols = {k: v.col if isinstance(v, Series) else v if isinstance(v, Column) else F.lit(v) for k, v in new.items()}
@@ -463,7 +475,8 @@ class Frame(_Named):
         return self._masked(cond, other, False)
 
     def _masked(self, cond, other, keep: bool) -> "Frame":
-        pick = lambda x, s: x[s.name] if isinstance(x, Frame) else x
+        found = {id(x): x._over(self) or dict(x.items()) for x in (cond, other) if isinstance(x, Frame)}
+        pick = lambda x, s: found[id(x)][s.name] if isinstance(x, Frame) else x
         return self._map(lambda s: (s.where if keep else s.mask)(pick(cond, s), pick(other, s)).col)
 
     def isin(self, values) -> "Frame":
@@ -644,7 +657,7 @@ class Frame(_Named):
 
     def _pairwise(self) -> "Frame":
         kept, n = self._each(), len(self._labels)
-        xs = [s.col.cast("double") for s in kept]
+        xs = [S.valid(s.col, s.kind).cast("double") for s in kept]
         row = self.df.agg(*[F.corr(xs[i], xs[j]) for i in range(n) for j in range(i)] or [F.lit(0)]).first()
         out, at = np.eye(n), 0
         for i in range(n):
@@ -1099,7 +1112,8 @@ def _frame_binary(name: str):
     def method(self, other, axis="columns", level=None, fill_value=None):
         if isinstance(other, Frame):
             shared, extra = [x for x in self._labels if x in other._labels], [x for x in self._labels + other._labels if (x in self._labels) != (x in other._labels)]
-            frame, found = (self, [other[x] for x in shared]) if other.df is self.df else _aligned(self, [other[x] for x in shared])
+            here = other._over(self)
+            frame, found = (self, [here[x] for x in shared]) if here is not None else _aligned(self, [other[x] for x in shared])
             data = {x: getattr(Series(frame, F.col(f"`{frame._where_label(x)}`"), x), name)(s).col for x, s in zip(shared, found)}
             return frame._select(data | {x: F.lit(None).cast("double") for x in extra})
         return self._map(lambda s: getattr(s, name)(other).col)

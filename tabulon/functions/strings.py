@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -177,8 +178,6 @@ def translate(c: Column, table: dict) -> Column:
 
 def normalize(c: Column, form: str) -> Column:
     """Unicode normalisation; Spark has no such function, so an Arrow batch function does it."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def normalised(s: pd.Series) -> pd.Series:
         return s.str.normalize(form)

@@ -327,9 +327,9 @@ class Series(_Named):
         return self._as(F.round(self.col, decimals))
 
     def clip(self, lower=None, upper=None) -> "Series":
-        c = self.col
-        c = F.when(c < lower, F.lit(lower)).otherwise(c) if lower is not None else c
-        return self._as(F.when(c > upper, F.lit(upper)).otherwise(c) if upper is not None else c)
+        x = S.valid(self.col, self.kind)
+        c = F.when(x < lower, F.lit(lower)).otherwise(self.col) if lower is not None else self.col
+        return self._as(F.when(x > upper, F.lit(upper)).otherwise(c) if upper is not None else c)
 
     def fillna(self, value=None, method=None, axis=None, inplace=False, limit=None) -> "Series":
         if method is not None:
@@ -480,11 +480,11 @@ class Series(_Named):
         return Series.of(pd.Series([str(n), str(u), *([str(top[0]), str(top[1])] if top else [None, None])], index=["count", "unique", "top", "freq"], name=self.name))
 
     def corr(self, other, method="pearson"):
-        me, c, _ = self._operands(other)
+        me, c, kind = self._operands(other)
         if method == "spearman":
             pair = me._frame._select({"a": me.col, "b": c}).dropna().rank()
             return pair["a"].corr(pair["b"])
-        return me._frame.df.agg(F.corr(me.col.cast("double"), c.cast("double"))).first()[0]
+        return me._frame.df.agg(F.corr(S.valid(me.col, me.kind).cast("double"), S.valid(c, kind).cast("double"))).first()[0]
 
     def idxmax(self, skipna=True):
         return self._one(_edge(self, F.max_by, True))
@@ -734,8 +734,8 @@ def _arithmetic(name, back):
 
 def _comparison(name):
     def method(self, other, level=None, fill_value=None, axis=0):
-        me, c, _ = self._operands(other)
-        return me._as(S.compare(name, me.col, c))
+        me, c, kind = self._operands(other)
+        return me._as(S.compare(name, S.valid(me.col, me.kind), S.valid(c, kind)))
 
     method.__name__ = name
     return method
