@@ -1,10 +1,12 @@
 """I-Match document fingerprints, in DataFrame operations alone.
 
 A text's terms are its distinct lower-case runs of letters and digits. Terms whose document frequency
-lies in a band of shares of the corpus form the lexicon. A fingerprint has a part for each of SUBSETS
-random subsets of the lexicon, at rates from 1/2 downwards: the hash of the text's sorted terms in it.
-A text without lexicon terms takes the hash of all its terms for every part. Likeness is the share of
-equal parts among those that either text fills.
+lies in a band of shares of the corpus form the lexicon. A fingerprint has a part for each of several
+random subsets of the lexicon, at rates from 1/2 downwards: the hash of the set of the text's terms in
+it. Sets are hashed by XOR of their distinct terms' 64-bit hashes, which is the same in any order and so
+stands for hashing the sorted terms, but is an aggregate that Spark compiles. A text without lexicon
+terms takes the hash of its whole lower-case text for every part. Likeness is the share of equal parts
+among those that either text fills.
 
 A band of shares bounds the lexicon: at most (mean distinct terms of a text) / (lowest share) terms,
 whatever the corpus. It is broadcast only if counted below BROADCAST_TERMS, else joined by shuffle.
@@ -22,23 +24,22 @@ RATES = (1, 2, 3, 4, 5, 6, 7, 8)  # powers of two a term is kept by
 PER_RATE = 6
 BROADCAST_TERMS = 2_000_000
 ORDER_BUCKET = 4_096
-_SENTINEL = 0  # a term that every text has, so that no text is lost in the join
+_SENTINEL = "\x01"  # a term that every text has, so that no text is lost in the join
 
 
-def term_hashes(text: Column) -> Column:
-    """Distinct 64-bit hashes of the terms of a text, the sentinel first."""
-    terms = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    return F.array_distinct(F.concat(F.array(F.lit(_SENTINEL).cast("long")), F.transform(terms, lambda t: F.xxhash64(t))))
+def terms(text: Column) -> Column:
+    """The terms of a text, repeats included, and the sentinel."""
+    return F.concat(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), F.array(F.lit(_SENTINEL)))
 
 
 def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
     """term (hash): those whose document frequency is in the band, and the sentinel."""
     n = docs.count()
-    df = docs.select(F.explode(term_hashes(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    inside = F.col("df").between(max(LEAST_DOCS, least * n), max(LEAST_DOCS, most * n)) & (F.col("term") != _SENTINEL)
-    spark = docs.sparkSession
+    once = docs.select(F.explode(F.array_distinct(terms(F.coalesce("text", F.lit(""))))).alias("t"))
+    df = once.where((F.col("t") != "") & (F.col("t") != _SENTINEL)).groupBy(F.xxhash64("t").alias("term")).agg(F.count(F.lit(1)).alias("df"))
+    inside = F.col("df").between(max(LEAST_DOCS, least * n), max(LEAST_DOCS, most * n))
     kept = cut(df.where(inside).select("term"))
-    whole = kept.unionAll(spark.range(1).select(F.lit(_SENTINEL).cast("long").alias("term")))
+    whole = kept.unionAll(docs.sparkSession.range(1).select(F.xxhash64(F.lit(_SENTINEL)).alias("term")))
     return F.broadcast(whole) if kept.count() <= BROADCAST_TERMS else whole
 
 
@@ -82,26 +83,15 @@ def edited(text: Column, after: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(F.coalesce(after, F.lit("")), F.lit(1), half))
 
 
-def _parts(terms: Column, whole: Column) -> Column:
-    """The parts of a fingerprint from sorted lexicon terms; null where a subset holds none of them."""
-    out, shift = [], 0
-    for rate in RATES:
-        for _ in range(PER_RATE):
-            out.append(F.filter(terms, _keeps(rate, shift)))
-            shift += 1
-    hashed = F.array(*[F.when(F.size(x) > 0, F.xxhash64(x)) for x in out])
-    return F.when(F.size(terms) > 0, hashed).otherwise(F.array_repeat(whole, len(out)))
-
-
-def _keeps(rate: int, number: int):
+def _keeps(x: Column, rate: int, number: int) -> Column:
     """Whether a term is in subset *number*: the low bits of its re-mixed hash are zero."""
     odd = ((0x9E3779B97F4A7C15 * (2 * number + 1)) & 0x7FFFFFFF) | 1
+    mixed = F.shiftrightunsigned(x.bitwiseXOR(F.shiftrightunsigned(x, 29)), number % 23).bitwiseAND(0x3FFFFFFF) * odd
+    return F.shiftright(mixed, 11).bitwiseAND((1 << rate) - 1) == 0
 
-    def keeps(x):
-        mixed = F.shiftrightunsigned(x.bitwiseXOR(F.shiftrightunsigned(x, 29)), number % 23).bitwiseAND(0x3FFFFFFF) * odd
-        return F.shiftright(mixed, 11).bitwiseAND((1 << rate) - 1) == 0
 
-    return keeps
+def _subsets() -> list[tuple[int, int]]:
+    return [(rate, i * PER_RATE + j) for i, rate in enumerate(RATES) for j in range(PER_RATE)]
 
 
 def _text_of(parts: Column) -> Column:
@@ -121,19 +111,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     A null text is empty; a null doc_id sorts first; equal doc_ids are ordered by text; a lone document
     follows itself. Equal texts have equal fingerprints. The texts are shuffled once, by bucket of ids;
-    both windows and the regrouping use that partitioning.
+    windows, distinct terms, part hashes and the join of both halves use that partitioning.
     """
-    terms = lexicon(docs)
+    band = lexicon(docs)
     rows = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.select("bucket", "place", "extra", "doc_id", "text", "edited", term_hashes(F.col("text")).alias("a"), term_hashes(F.col("edited")).alias("b"))
-    every = [F.xxhash64(F.sort_array(s)).alias(f"all_{s}") for s in ("a", "b")]
-    meta = F.struct("extra", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *every)
-    tagged = F.concat(*[F.transform(s, lambda t: F.struct(t.alias("term"), F.lit(s == "a").alias("first"))) for s in ("a", "b")])
-    rows = rows.select("bucket", "place", meta.alias("meta"), tagged.alias("tagged"))  # before the rows multiply
-    flat = rows.select("bucket", "place", "meta", F.explode("tagged").alias("x")).select("bucket", "place", "meta", "x.term", "x.first").join(terms, "term")
-    of = lambda first: F.sort_array(F.collect_list(F.when((F.col("first") == first) & (F.col("term") != _SENTINEL), F.col("term"))))
-    docs_ = flat.groupBy("bucket", "place").agg(F.first("meta").alias("meta"), of(True).alias("a"), of(False).alias("b"))
-    made = docs_.select("bucket", "place", "meta.*", _parts(F.col("a"), F.col("meta.all_a")).alias("pa"), _parts(F.col("b"), F.col("meta.all_b")).alias("pb"))
+    known = rows.select("bucket", "place", "extra", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.xxhash64(F.lower("text")).alias("all_a"), F.xxhash64(F.lower("edited")).alias("all_b"))
+
+    sides = [rows.select("bucket", "place", F.lit(s).alias("side"), F.explode(terms(F.col(c))).alias("t")) for s, c in (("a", "text"), ("b", "edited"))]
+    each = [s.select("bucket", "place", "side", F.xxhash64("t").alias("term")).join(band, "term").distinct() for s in sides]
+    mark = F.xxhash64(F.lit(_SENTINEL))
+    made = []
+    for rows_of, s in zip(each, ("a", "b")):
+        x = F.when(F.col("term") != mark, F.col("term"))
+        parts = [F.bit_xor(F.when(_keeps(x, rate, k), F.xxhash64(x, F.lit(k)))).alias(f"{s}{k}") for rate, k in _subsets()]
+        made.append(rows_of.groupBy("bucket", "place").agg(F.count(x).alias(f"n_{s}"), *parts))
+    both = known.join(made[0], ["bucket", "place"]).join(made[1], ["bucket", "place"])
+    array = lambda s: F.when(F.col(f"n_{s}") > 0, F.array(*[F.col(f"{s}{k}") for _, k in _subsets()])).otherwise(F.array_repeat(F.col(f"all_{s}"), len(_subsets())))
+    both = both.select("bucket", "place", "extra", "doc_id", "n_chars", "edited_sha256", array("a").alias("pa"), array("b").alias("pb"))
     after = F.lead("pa").over(Window.partitionBy("bucket").orderBy("place"))
-    made = made.withColumn("pn", after).where("extra = 0")
-    return made.select("doc_id", "n_chars", "edited_sha256", _text_of(F.col("pa")).alias("fingerprint"), _text_of(F.col("pb")).alias("edited_fingerprint"), likeness(F.col("pa"), F.col("pb")).alias("near_edited"), likeness(F.col("pa"), F.col("pn")).alias("near_next"))
+    both = both.withColumn("pn", after).where("extra = 0")
+    return both.select("doc_id", "n_chars", "edited_sha256", _text_of(F.col("pa")).alias("fingerprint"), _text_of(F.col("pb")).alias("edited_fingerprint"), likeness(F.col("pa"), F.col("pb")).alias("near_edited"), likeness(F.col("pa"), F.col("pn")).alias("near_next"))
