@@ -358,11 +358,11 @@ def duplicated(spark, sf):
 
 
 # ---- windows -----------------------------------------------------------------------------------------
-@query("""SELECT event_id, lag(value) OVER w AS prev, lead(value, 2) OVER w AS next2, round(value - lag(value) OVER w, 6) AS diff, round(value / lag(value) OVER w - 1, 6) AS pct
- FROM (SELECT event_id, value + 1 AS value FROM events) WINDOW w AS (ORDER BY event_id)""")
+@query(f"""SELECT event_id, lag(value) OVER w AS prev, lead(value, 2) OVER w AS next2, round(value - lag(value) OVER w, 6) AS diff, round((value - lag(value) OVER w) / lag(value) OVER w, 6) AS pct
+ FROM (SELECT event_id, value * {SCALE}::DOUBLE + 1 AS value FROM events) WINDOW w AS (ORDER BY event_id)""")
 def shift_diff_pct(spark, sf):
     e = events(spark, sf)
-    v = (e["value"] + 1).rename("value")
+    v = (e["value"] * SCALE + 1).rename("value")
     out = v.shift(1).to_frame("prev")
     with tb.option_context("compute.ops_on_diff_frames", True):
         return out.assign(next2=v.shift(-2), diff=v.diff().round(6), pct=v.pct_change().round(6)).to_spark("event_id")
@@ -415,25 +415,27 @@ def group_rank(spark, sf):
 
 
 WINDOW_SQL = {"count": "count(v)", "sum": "sum(v)", "min": "min(v)", "max": "max(v)", "mean": "avg(v)", "std": "stddev_samp(v)", "var": "var_samp(v)"}
+DIGITS = {"sum": 4, "var": 4}
 for _name, _sql in WINDOW_SQL.items():
+    _d = DIGITS.get(_name, 7)
     _gate = "" if _name == "count" else "CASE WHEN count(v) OVER w >= 2 THEN "
 
-    @query(f"SELECT event_id, {_gate}round(CAST({_sql} OVER w AS DOUBLE), 7) {'END' if _gate else ''} AS x FROM ({HOLES}) WINDOW w AS (ORDER BY event_id ROWS 4 PRECEDING)", f"rolling_{_name}")
+    @query(f"SELECT event_id, {_gate}round(CAST({_sql} OVER w AS DOUBLE), {_d}) {'END' if _gate else ''} AS x FROM ({HOLES}) WINDOW w AS (ORDER BY event_id ROWS 4 PRECEDING)", f"rolling_{_name}")
     def _f(spark, sf, name=_name):
         r = holes(events(spark, sf))["v"].rolling(5, 2)
-        return getattr(r, name)().round(7).to_frame("x").to_spark("event_id")
+        return getattr(r, name)().round(DIGITS.get(name, 7)).to_frame("x").to_spark("event_id")
 
-    @query(f"SELECT event_id, {_gate}round(CAST({_sql} OVER w AS DOUBLE), 7) {'END' if _gate else ''} AS x FROM ({HOLES}) WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS 2 PRECEDING)", f"group_rolling_{_name}")
+    @query(f"SELECT event_id, {_gate}round(CAST({_sql} OVER w AS DOUBLE), {_d}) {'END' if _gate else ''} AS x FROM ({HOLES}) WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS 2 PRECEDING)", f"group_rolling_{_name}")
     def _g(spark, sf, name=_name):
         r = holes(events(spark, sf)).groupby("user_id")["v"].rolling(3, 2)
-        return getattr(r, name)().round(7).to_frame("x").to_spark("event_id")
+        return getattr(r, name)().round(DIGITS.get(name, 7)).to_frame("x").to_spark("event_id")
 
     _few = "count(*)" if _name == "count" else "count(v)"
 
-    @query(f"SELECT event_id, CASE WHEN {_few} OVER w >= 3 THEN round(CAST({_sql} OVER w AS DOUBLE), 7) END AS x FROM ({HOLES}) WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)", f"expanding_{_name}")
+    @query(f"SELECT event_id, CASE WHEN {_few} OVER w >= 3 THEN round(CAST({_sql} OVER w AS DOUBLE), {_d}) END AS x FROM ({HOLES}) WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)", f"expanding_{_name}")
     def _h(spark, sf, name=_name):
         r = holes(events(spark, sf))["v"].expanding(3)
-        return getattr(r, name)().round(7).to_frame("x").to_spark("event_id")
+        return getattr(r, name)().round(DIGITS.get(name, 7)).to_frame("x").to_spark("event_id")
 
 
 @query(f"SELECT event_id, round(avg(v) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING), 7) AS x FROM ({HOLES})")
@@ -761,10 +763,10 @@ BINARY = {
 }
 for _name, _sql in BINARY.items():
 
-    @query(f"SELECT event_id, round(CAST({_sql} AS DOUBLE), 5) AS y FROM (SELECT event_id, value AS a, CAST(user_id AS DOUBLE) + 1 AS b FROM events)", f"ufunc_{_name}")
+    @query(f"SELECT event_id, round(CAST({_sql} AS DOUBLE), 5) AS y FROM (SELECT event_id, value * {SCALE}::DOUBLE AS a, CAST(user_id AS DOUBLE) + 1 AS b FROM events)", f"ufunc_{_name}")
     def _f(spark, sf, name=_name):
         e = events(spark, sf)
-        a, b = e["value"], e["user_id"].astype("float") + 1
+        a, b = e["value"] * SCALE, e["user_id"].astype("float") + 1
         y = getattr(np, name)(a, 2 if name in ("power", "float_power") else b)
         return y.astype("float").round(5).to_frame("y").to_spark("event_id")
 
