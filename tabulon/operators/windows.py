@@ -90,20 +90,21 @@ def _running(base, vals, made, groups, order, name, kinds, skipna=True, **_):
 
 
 def _fill(base, vals, made, groups, order, back, limit):
-    flip = lambda w: w.rowsBetween(Window.currentRow, limit if limit else Window.unboundedFollowing) if back else w.rowsBetween(-limit if limit else Window.unboundedPreceding, Window.currentRow)
-    pick = F.first if back else F.last
-    new = lambda w: {m: pick(v, ignorenulls=True).over(flip(w)) for v, m in zip(vals, made)}
+    """The last valid value so far; backwards over the reversed order, as a frame open to the end is recomputed for each row."""
+    so_far = lambda w: w.rowsBetween(-limit if limit else Window.unboundedPreceding, Window.currentRow)
+    new = lambda w: {m: F.last(v, ignorenulls=True).over(so_far(w)) for v, m in zip(vals, made)}
     if groups:
-        return base.df.withColumns(new(Window.partitionBy(*groups).orderBy(*order)))
+        by = [F.desc_nulls_last(c) for c in base._order] if back else order
+        return base.df.withColumns(new(Window.partitionBy(*groups).orderBy(*by)))
     if limit:
-        return ordered.bounded(base.df, order, 0 if back else limit, limit if back else 0, new)
+        ahead = lambda w: {m: F.first(v, ignorenulls=True).over(w.rowsBetween(Window.currentRow, limit)) for v, m in zip(vals, made)}
+        return ordered.bounded(base.df, order, 0 if back else limit, limit if back else 0, ahead if back else new)
     rows = ordered.positions(base.df, order).withColumn(ordered.BLK, F.floor(F.col(ordered.POS) / ordered.BLOCK))
-    edge = (F.min_by if back else F.max_by)
+    edge, way = (F.min_by, F.desc) if back else (F.max_by, F.asc)
     sums = rows.groupBy(ordered.BLK).agg(*[edge(v, F.when(F.col(v).isNotNull(), F.col(ordered.POS))).alias(f"__t{i}__") for i, v in enumerate(vals)])
-    w = Window.orderBy(ordered.BLK)
-    past = w.rowsBetween(1, Window.unboundedFollowing) if back else w.rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(ordered.BLK, *[pick(f"__t{i}__", ignorenulls=True).over(past).alias(f"__t{i}__") for i in range(len(vals))])
-    local = new(Window.partitionBy(ordered.BLK).orderBy(ordered.POS))
+    past = Window.orderBy(way(ordered.BLK)).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(ordered.BLK, *[F.last(f"__t{i}__", ignorenulls=True).over(past).alias(f"__t{i}__") for i in range(len(vals))])
+    local = new(Window.partitionBy(ordered.BLK).orderBy(way(ordered.POS)))
     df = rows.join(F.broadcast(sums), ordered.BLK).withColumns(local)  # one row for each block
     return df.withColumns({m: F.coalesce(m, f"__t{i}__") for i, m in enumerate(made)}).drop(ordered.BLK)
 
