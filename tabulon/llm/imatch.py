@@ -23,7 +23,7 @@ LEAST_SHARE, MOST_SHARE, LEAST_DOCS = 1e-4, 0.1, 2
 RATES = (1, 2, 3, 4, 5, 6, 7, 8)  # powers of two a term is kept by
 PER_RATE = 6
 BROADCAST_TERMS = 2_000_000
-ORDER_BUCKET = 4_096
+ORDER_BUCKET = 512
 _SENTINEL = "\x01"  # a term that every text has, so that no text is lost in the join
 
 
