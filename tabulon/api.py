@@ -27,6 +27,7 @@ from .sources.readers import (
     read_sql_table,
     read_table,
 )
+from .sources.models import load_model
 from .sources.readers import range_ as range  # noqa: A004
 
 

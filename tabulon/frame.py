@@ -338,6 +338,36 @@ class Frame(_Named):
     def copy(self, deep=None) -> "Frame":
         return self._new()
 
+    @staticmethod
+    def from_dict(data, orient="columns", dtype=None, columns=None) -> "Frame":
+        return from_pandas(pd.DataFrame.from_dict(data, orient, dtype, columns))
+
+    @staticmethod
+    def from_records(data, index=None, exclude=None, columns=None, coerce_float=False, nrows=None) -> "Frame":
+        return from_pandas(pd.DataFrame.from_records(data, index, exclude, columns, coerce_float, nrows))
+
+    def bool(self) -> bool:
+        rows = self.df.select(*[F.col(f"`{c}`") for c in self._cols]).take(2)
+        if len(rows) != 1 or len(self._cols) != 1 or not isinstance(rows[0][0], (bool, np.bool_)):
+            raise ValueError("only a table of one boolean has a truth value")
+        return rows[0][0]
+
+    def get_dtype_counts(self) -> pd.Series:
+        return self.dtypes.map(str).value_counts()
+
+    def spark_schema(self, index_col=None):
+        return self.to_spark(index_col).schema
+
+    def print_schema(self, index_col=None) -> None:
+        self.to_spark(index_col).printSchema()
+
+    def __array_ufunc__(self, ufunc, method, *inputs, **kwargs):
+        """By column; another frame is taken label by label."""
+        if method != "__call__" or kwargs:
+            return NotImplemented
+        over = [x._over(self) or dict(x.items()) if isinstance(x, Frame) else None for x in inputs]
+        return self._map(lambda s: ufunc(*[o[s.name] if o is not None else x for o, x in zip(over, inputs)]).col)
+
     def pipe(self, func, *args, **kwargs):
         if isinstance(func, tuple):
             func, target = func
@@ -901,6 +931,13 @@ class Frame(_Named):
     def hist(self, bins=10, **kwds):
         return self.plot.hist(bins=bins, **kwds)
 
+    def kde(self, bw_method=None, ind=None, **kwds):
+        return self.plot.kde(bw_method=bw_method, ind=ind, **kwds)
+
+    @property
+    def batch(self):
+        return _Batch(self)
+
     # ---- sinks -------------------------------------------------------------------------------------
     def _sink(self):
         from .sources import sinks
@@ -997,8 +1034,17 @@ class _SparkFrame:
         return self._f._rows(self._f.df.coalesce(n))
 
     def checkpoint(self, eager=True):
+        """The rows written into the folder that executors share, and read back."""
         return self._f._rows(ordered.cut(self._f.df))
 
+    #: A local checkpoint is lost with its executor, so the shared one is taken here too.
+    local_checkpoint = checkpoint
+
+    @property
+    def analyzed(self) -> Frame:
+        """The same rows as columns of a table of their own: earlier series no longer combine with it."""
+        return self._f._select({x: F.col(f"`{c}`") for x, c in zip(self._f._labels, self._f._cols)})
+
     def apply(self, func, index_col=None) -> Frame:
         out = func(self._f.to_spark(index_col))
         return Frame(out, index_col)
@@ -1010,6 +1056,30 @@ class _SparkFrame:
         self._f.to_spark_io(*a, **k)
 
 
+class _Batch:
+    """Functions on batches of rows, and row ids."""
+
+    def __init__(self, frame: Frame):
+        self._f = frame
+
+    def apply_batch(self, func, schema=None) -> Frame:
+        return self._f.map_in_pandas(func, schema)
+
+    def transform_batch(self, func, schema=None) -> Frame:
+        return self._f.transform_batch(func, schema)
+
+    def attach_id_column(self, id_type: str, column) -> Frame:
+        """A column of ids: 'sequence' and 'distributed-sequence' from 0 in order, 'distributed' unique with gaps."""
+        from .config import option_context
+
+        with option_context("compute.default_index_type", id_type):
+            numbered = _default_index(self._f._new(keys=[], names=[], df=self._f.df.withColumns({f"__k{i}__": F.col(k) for i, k in enumerate(self._f._keys)})))
+        keys = [f"__k{i}__" for i in range(len(self._f._keys))]
+        df = numbered.df.withColumn(physical(column), F.col(key_column(0))).drop(key_column(0), *self._f._keys)
+        df = df.withColumnsRenamed(dict(zip(keys, self._f._keys)))
+        return self._f._new(df=df, labels=[*self._f._labels, column], cols=[*self._f._cols, physical(column)], order=numbered._order)
+
+
 # ---- construction ------------------------------------------------------------------------------------
 def _wrap(data, index_col, order) -> dict:
     if isinstance(data, DataFrame):

@@ -124,6 +124,9 @@ UNARY = {
 del UNARY["matmul"]
 
 
+UNARY["modf"] = lambda c: c.cast("double") - F.when(c < 0, F.ceil(c)).otherwise(F.floor(c))  # the fractional part
+
+
 def _spacing(c: Column) -> Column:
     """The distance to the next double of larger magnitude, by the value's binary exponent."""
     a = F.abs(c.cast("double"))

@@ -60,10 +60,17 @@ class Series(_Named):
     def spark_type(self):
         return self.kind
 
+    @property
+    def spark_column(self) -> Column:
+        return self.col
+
     @property
     def spark(self):
         return _SparkSeries(self)
 
+    def get_dtype_counts(self):
+        return pd.Series([1], index=[str(self.dtype)])
+
     @property
     def index(self) -> "Index":
         return self._frame.index
@@ -957,6 +964,16 @@ class Index(_Named):
     def identical(self, other):
         return self.names == other.names and self.equals(other)
 
+    @property
+    def spark_column(self) -> Column:
+        return self._cols[0]
+
+    def take(self, indices):
+        return self._frame.iloc[list(indices)].index
+
+    def sort(self, *args, **kwargs):
+        raise TypeError("an index is sorted by sort_values")
+
     def sort_values(self, ascending=True):
         return self._frame._sorted(self._cols, [ascending] * len(self._cols), "last").index
 
@@ -1200,6 +1217,7 @@ class _SparkSeries:
 
     column = property(lambda self: self._s.col)
     data_type = property(lambda self: self._s.kind)
+    analyzed = property(lambda self: self._s.to_frame()._series(self._s._label))
     nullable = property(lambda self: self._s._frame.df.select(self._s.col).schema[0].nullable)
 
     def transform(self, func):

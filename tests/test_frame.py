@@ -319,3 +319,19 @@ def test_accessors_and_sql(f):
 
     assert f.shape_of.columns() == 4
     assert tb.sql("SELECT sum(a) AS s FROM {x} WHERE c IN {keep} AND a > {low}", x=f, keep=["x"], low=1).to_spark().first().s == 18
+
+
+def test_small_helpers(f, pdf):
+    same(tb.Frame.from_dict({"x": [1, 2]}), pd.DataFrame({"x": [1, 2]}))
+    same(tb.Frame.from_records([(1, "a")], columns=["x", "y"]), pd.DataFrame({"x": [1], "y": ["a"]}))
+    assert tb.Frame({"x": [True]}).bool() and f.get_dtype_counts()["int64"] == 1
+    same(np.exp(f[["a"]]), np.exp(pdf[["a"]]))
+    same(np.maximum(f[["a"]], f[["a"]]), pdf[["a"]])
+    same(np.modf(f["b"] / 4), pd.Series(np.modf(pdf["b"] / 4)[0]))
+    assert f.index.take([0, 2]).to_list() == [0, 3]
+    ids = f.batch.attach_id_column("distributed-sequence", "id")
+    assert ids["id"].to_list() == list(range(9)) and ids.index.to_list() == pdf.index.tolist()
+    same(f.spark.local_checkpoint()[["a"]], pdf[["a"]])
+    same(f.spark.analyzed[["a"]], pdf[["a"]])
+    with pytest.raises(ImportError):
+        tb.load_model("no such model")
