@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block.
@@ -19,14 +19,19 @@ BLOCK = 1 << 18
 POS, BLK, HALO = "__pos__", "__blk__", "__halo__"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write *df* as Parquet into the folder named by spark.checkpoint.dir (a local one where unset) and read it back."""
-    sc = df.sparkSession.sparkContext
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder named by spark.checkpoint.dir, which all executors share (a local one where unset)."""
+    sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(folder)
-    path = f"{folder}/tabulon-{uuid.uuid4().hex}"
+    return f"{folder}/tabulon-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write *df* as Parquet into the shared folder and read it back."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -654,11 +654,11 @@ def sample(spark, sf):
 @query("SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY 1")
 def write_and_read_back(spark, sf):
     """A Parquet sink partitioned by a column, and its source, in the shared folder."""
-    from .plans.ordered import cut
+    from .plans.ordered import shared_path
 
-    c = t(spark, sf, "customer")
-    kept = c._rows(cut(c.df))
-    return kept.groupby("c_mktsegment").size().to_frame("n").to_spark("c_mktsegment")
+    path = shared_path(spark)
+    t(spark, sf, "customer").to_parquet(path, partition_cols="c_mktsegment")
+    return tb.read_parquet(path).groupby("c_mktsegment").size().to_frame("n").to_spark("c_mktsegment")
 
 
 # ---- scalar functions, one query for each -------------------------------------------------------------

@@ -516,7 +516,8 @@ class Series(_Named):
 
     def mode(self, dropna=True) -> "Series":
         counts = self._counts(dropna)
-        rows = counts.crossJoin(F.broadcast(counts.agg(F.max("n").alias("most")))).where("n = most")  # one row
+        most = counts.agg(F.max("n").alias("most"))
+        rows = counts.join(F.broadcast(most), F.col("n") == F.col("most"), "left_semi")  # one row
         return Frame(rows.select(F.col("v").alias(physical(self._label))), order=physical(self._label))._series(self._label)
 
     def _counts(self, dropna=True):
