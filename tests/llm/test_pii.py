@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -81,3 +83,18 @@ def test_mask(spark):
 def test_odd_rows(odd, empty):
     assert pii.find(odd).count() == 10 and pii.find(empty).count() == 0 and pii.mask(empty).count() == 0
     assert sorted(map(str, pii.mask(odd).collect())) == sorted(map(str, odd.collect()))
+
+
+def test_long_runs_take_linear_time():
+    n = 300_000
+    for t in ("x" * n + " @ at 1", "1" * n + ". @", "1a" * n + " .@", "+1" * n + "@", "+1" + "-" * n + "@", "a@" + "b" * n):
+        start = time.perf_counter()
+        pii.instances(t, pii.base_spans(t))
+        assert time.perf_counter() - start < 10, t[:9]
+
+
+def test_forms_on_random_strings():
+    rng = random.Random(5)
+    for _ in range(20_000):
+        t = "".join(rng.choice(rng.choice(("ab1@@..-_%+2 ", "123.. a", "+1 (2)-.3"))) for _ in range(rng.randint(1, 40)))
+        assert [(k, a, b) for a, b, k in pii.base_spans(t)] == plain(t), t
