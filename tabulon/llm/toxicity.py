@@ -42,7 +42,7 @@ for _c in range(0x250):
     elif chr(_c).isspace():
         _CLASS[_c] = _SPACE
 _SINGLES = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_EDGE = re.compile(r"^[\W_]++|(?<![\W_])[\W_]++$")
 _MARKS = re.compile(r"[\W_]+")
 _STEPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _WEIGHT = np.concatenate([np.full(WINDOW + 2 - b, GAP ** (b - 2), dtype=np.float32) for _, b in _STEPS])
@@ -54,8 +54,8 @@ def units_of(text: str | None) -> set[str]:
     return {*low.split(), *(m[0] for m in _SINGLES.finditer(low))} if low else set()
 
 
-def features(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unit number, feature codes, normalised weights) of each window of each unit; code 0 weighs 0."""
+def windows_of(units: list[str]) -> tuple[np.ndarray, list[str]]:
+    """(unit number, window) for the windows of each unit."""
     windows, owner = [], []
     for i, u in enumerate(units):
         bare = _EDGE.sub("", u)
@@ -64,6 +64,11 @@ def features(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             for at in range(0, max(1, len(core) - 2 - WINDOW // 2), WINDOW // 2):
                 windows.append(core[at : at + WINDOW + 2])
                 owner.append(i)
+    return np.array(owner, dtype=np.int64), windows
+
+
+def features(windows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(feature codes, normalised weights) of each window; code 0 weighs 0."""
     flat = np.frombuffer("".join(w.ljust(WINDOW + 2, "\x00") for w in windows).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     x = _CLASS[np.minimum(flat, 0x24F)]
     x = np.where(flat > 0x24F, _OTHER_LETTER, x)
@@ -71,7 +76,7 @@ def features(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = np.concatenate([np.where((x[:, :-b] > 0) & (x[:, b:] > 0), (x[:, :-b] << 12) | (x[:, a : a - b] << 6) | x[:, b:], 0) for a, b in _STEPS], axis=1)
     weights = np.where(codes > 0, _WEIGHT, np.float32(0))
     norm = np.sqrt((weights * weights).sum(axis=1, keepdims=True))
-    return np.array(owner, dtype=np.int64), codes, weights / np.maximum(norm, 1e-6)
+    return codes, weights / np.maximum(norm, 1e-6)
 
 
 def _design(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -89,11 +94,12 @@ class Model:
     token: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def margins(self, units: list[str]) -> np.ndarray:
-        """The highest margin among each unit's windows."""
+        """The highest margin among each unit's windows, by so many windows at a time, however long a unit is."""
         out = np.full(len(units), -np.inf)
-        for k in range(0, len(units), 4096):
-            owner, codes, weights = features(units[k : k + 4096])
-            np.maximum.at(out[k : k + 4096], owner, (self.weights[codes] * weights).sum(axis=1) + self.bias)
+        owner, windows = windows_of(units)
+        for k in range(0, len(windows), 8_192):
+            codes, weights = features(windows[k : k + 8_192])
+            np.maximum.at(out, owner[k : k + 8_192], (self.weights[codes] * weights).sum(axis=1) + self.bias)
         return out
 
     def score(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -103,16 +109,17 @@ class Model:
 #: The margin of a missing unit.
 FLOOR = -2.0
 _known: dict[str, float] = {}
-_known_for: list = [None]
+_known_for: list = [None, 0]
 
 
 def top_units(texts: list[str | None], model: Model, n: int = 2) -> list[list[tuple[float, str]]]:
-    """The n highest (margin, unit) of each text. Margins of units are kept in the worker, at most 400,000."""
-    if _known_for[0] != model.token or len(_known) > 400_000:
+    """The n highest (margin, unit) of each text. Margins of units are kept in the worker, up to 400,000 or 32 MB of characters."""
+    if _known_for[0] != model.token or len(_known) > 400_000 or _known_for[1] > 1 << 25:
         _known.clear()
-        _known_for[0] = model.token
+        _known_for[:] = model.token, 0
     sets = [units_of(t) for t in texts]
     new = list(set().union(*sets).difference(_known)) if sets else []
+    _known_for[1] += sum(map(len, new))
     _known.update(zip(new, model.margins(new).tolist()))
     get = _known.__getitem__
     out = []
@@ -175,9 +182,9 @@ def train_svm(units: list[str], y: np.ndarray, weight: np.ndarray, landmarks: li
 
 def _whole(units: list[str]):
     """The features of each unit's first window; units to train on are words of ordinary length."""
-    owner, codes, w = features(units)
-    first = np.r_[True, owner[1:] != owner[:-1]]
-    return owner[first], codes[first], w[first]
+    owner, windows = windows_of(units)
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    return owner[first], *features([windows[k] for k in first])
 
 
 def _learnable(labels: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -68,3 +69,11 @@ def test_odd_rows(spark, odd, empty):
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
     none = labels.limit(0)
     assert toxicity.score(odd, toxicity.fit(odd, none)).count() == 10
+
+
+def test_long_units_take_linear_time_and_bounded_memory():
+    model = toxicity.Model(np.zeros(64**3, dtype=np.float32))
+    for t in ("a" + "." * 300_000 + "a", "x" * 300_000, "a b " * 100_000, " ".join(f"{i:x}" * 200 for i in range(500))):
+        start = time.perf_counter()
+        assert len(toxicity.top_units([t], model)[0]) >= 1
+        assert time.perf_counter() - start < 10, t[:9]
