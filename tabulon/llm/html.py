@@ -11,15 +11,14 @@ belong to the article too.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*>?"
-    r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
-    re.S,
-)
+_DECLARED = r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*>?"
+_TOKEN = re.compile(_DECLARED + r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>", re.S)
+_TAIL = re.compile(_DECLARED + "|(?P<tag>(?!))", re.S)  # behind the last ">" there are no tags
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 
 # Kinds of elements.
@@ -38,14 +37,22 @@ NOT_CONTENT = re.compile(
 )
 _PUNCT = re.compile(r"[.,;:!?…。、，！？；：]")
 _SPACE = re.compile(r"[ \t\n\r\f\v   -     　\x1c-\x1f\x85]+")
+_LONG_NUMBER = re.compile(r"&#0*+[0-9]{8,}+;?")
 THRESHOLD = 0.25
+#: Elements nested deeper count to the path of the one at this depth.
+MOST_DEPTH = 512
 
 
 class _Block:
-    __slots__ = ("path", "names", "parts", "linked", "barred")
+    __slots__ = ("path", "parts", "linked", "barred")
+
+    def __init__(self, path, barred):
+        self.path, self.parts, self.linked, self.barred = path, [], 0, barred
 
-    def __init__(self, path, names, barred):
-        self.path, self.names, self.parts, self.linked, self.barred = path, names, [], 0, barred
+
+def _decoded(raw: str) -> str:
+    """Character references decoded; numbers too long to be a code point are U+FFFD."""
+    return unescape(_LONG_NUMBER.sub("\ufffd", raw) if "&#" in raw else raw)
 
 
 def _attributes(text: str) -> dict:
@@ -65,8 +72,8 @@ def _bars(tag: str, attrs: dict, inside: bool) -> bool:
 
 def blocks(html: str) -> list[_Block]:
     """The text blocks of a page in order, each with its tag path."""
-    out, stack, at = [], [], 0  # stack: (tag, name with classes, barred, block-level)
-    current = None
+    out, stack, at = [], [], 0  # stack: (tag, path of block elements down to it, barred, block-level, depth of that path)
+    current, open_tags, open_barred = None, Counter(), 0
 
     def say(raw: str) -> None:
         nonlocal current
@@ -75,23 +82,25 @@ def blocks(html: str) -> list[_Block]:
         if current is None:
             if not raw.strip():
                 return
-            outer = [s for s in stack if s[3]]
-            current = _Block("/".join(s[1] for s in outer), tuple(s[0] for s in outer), any(s[2] for s in stack))
+            current = _Block(stack[-1][1] if stack else "", open_barred > 0)
             out.append(current)
-        text = unescape(raw)
+        text = _decoded(raw)
         current.parts.append(text)
-        if any(s[0] == "a" for s in stack):
+        if open_tags["a"]:
             current.linked += len(text.strip())
 
     def pop_to(k: int) -> None:
-        nonlocal current
-        if any(s[3] or s[2] for s in stack[k:]):
-            current = None
+        nonlocal current, open_barred
+        for s in stack[k:]:
+            open_tags[s[0]] -= 1
+            open_barred -= s[2]
+            if s[3] or s[2]:
+                current = None
         del stack[k:]
 
-    end = len(html)
+    end, last = len(html), html.rfind(">")
     while at < end:
-        m = _TOKEN.search(html, at)
+        m = (_TOKEN if at <= last else _TAIL).search(html, at)
         if not m:
             say(html[at:])
             break
@@ -103,18 +112,21 @@ def blocks(html: str) -> list[_Block]:
             continue
         tag = m["tag"].lower()
         if m["close"]:
+            if not open_tags[tag]:
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     if tag in INLINE and any(s[3] for s in stack[k + 1 :]):  # misnested: only the inline element ends
                         if not stack[k][2]:
+                            open_tags[tag] -= 1
                             del stack[k]
                         break
                     pop_to(k)
                     break
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             if not m["attrs"].rstrip().endswith("/"):
+                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
                 at = close.end() if close else end
             if tag not in ("title", "script", "style", "template", "noscript"):
                 current = None
@@ -125,7 +137,7 @@ def blocks(html: str) -> list[_Block]:
             elif tag == "hr":
                 current = None
             continue
-        if tag in P_CLOSERS:  # an open paragraph ends here, and with it what is open inside it
+        if tag in P_CLOSERS and open_tags["p"]:  # an open paragraph ends here, and with it what is open inside it
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
                     pop_to(k)
@@ -134,21 +146,26 @@ def blocks(html: str) -> list[_Block]:
                     break
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if any(open_tags[t] for t in same) else ():
                 if stack[k][0] in same:
                     pop_to(k)
                     break
                 if stack[k][0] in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "menu"):
                     break
         attrs = _attributes(m["attrs"]) if m["attrs"].strip(" /") else {}
-        inside = any(s[0] in ("article", "main") for s in stack)
+        inside = open_tags["article"] + open_tags["main"] > 0
         block = tag not in INLINE
         barred = _bars(tag, attrs, inside) if block or attrs else False
         if block or barred:
             current = None
-        name = tag + "".join(f".{c}" for c in sorted(attrs.get("class", "").split()))
+        name = tag + "".join(f".{c}" for c in sorted(attrs.get("class", "").replace("/", "|").split()))
         if not m["attrs"].rstrip().endswith("/") or block:
-            stack.append((tag, name, barred, block))
+            path, depth = (stack[-1][1], stack[-1][4]) if stack else ("", 0)
+            if block and depth < MOST_DEPTH:
+                path, depth = f"{path}/{name}" if depth else name, depth + 1
+            stack.append((tag, path, barred, block, depth))
+            open_tags[tag] += 1
+            open_barred += barred
     return out
 
 
@@ -181,24 +198,23 @@ def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
     weight = sum(s[0] for s in sums.values())
     bar = threshold * sum(fused[p] * sums[p][0] for p in paths) / weight
     chosen = {p for p in paths if fused[p] >= bar and sums[p][3] <= 0.6 * sums[p][0]}
-    root = _article(kept, chosen)
-    return "\n".join(text for b, text in kept if b.path in chosen and _under(b.path, root) or _belongs(b, text, root))
+    root = _article({p: sums[p][0] for p in paths if p in chosen})
+    under = {p: _under(p, root) for p in paths}
+    return "\n".join(text for b, text in kept if under[b.path] and (b.path in chosen or _belongs(b, text, root)))
 
 
 def _under(path: str, root: tuple[str, ...]) -> bool:
     return tuple(path.split("/"))[: len(root)] == root
 
 
-def _article(kept, chosen) -> tuple[str, ...]:
+def _article(chosen: dict[str, int]) -> tuple[str, ...]:
     """The path of the element that holds the content: an article or main element if one holds most of it, else the common ancestor."""
     weigh: dict[tuple[str, ...], int] = {}
-    total = 0
-    for b, text in kept:
-        if b.path in chosen:
-            parts = tuple(b.path.split("/"))
-            total += len(text)
-            for k in range(1, len(parts) + 1):
-                weigh[parts[:k]] = weigh.get(parts[:k], 0) + len(text)
+    total = sum(chosen.values())
+    for path, chars in chosen.items():
+        parts = tuple(path.split("/"))
+        for k in range(1, len(parts) + 1):
+            weigh[parts[:k]] = weigh.get(parts[:k], 0) + chars
     marked = [p for p, w in weigh.items() if p[-1].split(".")[0] in ("article", "main") and w > 0.5 * total]
     if marked:
         return max(marked, key=lambda p: (p[-1].split(".")[0] == "article", len(p)))
@@ -208,10 +224,10 @@ def _article(kept, chosen) -> tuple[str, ...]:
 
 
 def _belongs(b: _Block, text: str, root: tuple[str, ...]) -> bool:
-    """Short blocks of an article, such as headings and list items, whatever their ratio."""
+    """Short blocks under an article's element, such as headings and list items, whatever their ratio."""
     if not root or root[-1].split(".")[0] not in ("article", "main", "div", "section", "td"):
         return False
-    return _under(b.path, root) and b.linked <= 0.6 * len(text)
+    return b.linked <= 0.6 * len(text)
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from tabulon.llm import queries
 from tabulon.llm.html import extract, main_text
@@ -42,3 +43,21 @@ def test_odd_pages(spark):
     assert len(got) == 10 and by[1] == by[2] == by[3] == by[None] == "" and by[4] == "just text, no markup."
     assert by[7].count("\n") == 19999 and by[8] == "deep text, here."
     assert extract(table.limit(0)).count() == 0
+
+
+def test_long_pages_take_linear_time():
+    n = 20_000
+    for page in ("<a" * n, '<a href="x>' * n, "<b>x" * n, "<div>x" * n, "<svg/>x" * n, "</b>" * n, "<p>" + " " * n + "x"):
+        start = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - start < 10, page[:9]
+
+
+def test_deep_elements_keep_their_text():
+    assert main_text("<div>" * 2000 + "deep, text here." + "</div>" * 2000 + "<nav>menu, no.</nav>") == "deep, text here."
+    assert main_text("<div>" * 2000 + "<nav>menu, no.</nav><p>deep, text here.") == "deep, text here."
+
+
+def test_references_and_classes():
+    assert main_text("<p>&#" + "9" * 5000 + "; &#00000000065; x, y.</p>") == "\ufffd A x, y."
+    assert main_text('<div class="w-1/2 body"><h2>Title</h2><p>A long enough paragraph, with a point.</p></div>') == "Title\nA long enough paragraph, with a point."
