@@ -1,7 +1,7 @@
 """Best-fit-decreasing packing of tokenised documents into fixed windows.
 
 A document's ids are cut into full windows and a remainder. The remainders are dealt evenly into
-groups of at most ``group_pieces``; in each group, longest first, every remainder goes to the open
+groups of about ``group_pieces``; in each group, longest first, every remainder goes to the open
 window with the least room that still holds it, found by a segment tree indexed by remaining
 capacity. Only lengths travel: ids never leave the task that made them unless asked for.
 """
@@ -100,8 +100,8 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, with
     """Place every piece of *docs* (doc_id, text): its columns, sequence_id, offset.
 
     sequence_id is the group's number times 2**32 plus the window's number there; offsets in a window
-    run without gaps from 0. Pieces are dealt by their place in the written table, so repeated rows
-    and one document of any length spread evenly. Empty tables give an empty one.
+    run without gaps from 0. Pieces are dealt by a hash of their place in the written table, so
+    repeated rows, one document of any length and many small files spread evenly. Empty tables give an empty one.
     """
     pieces = cut(tokenised_pieces(docs, window, tokenizer, with_ids=with_ids))
     groups = max(1, -(-pieces.count() // group_pieces))
@@ -113,5 +113,5 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, with
         return pdf.assign(sequence_id=number, offset=np.array(offsets, dtype=np.int64))
 
     schema = PIECE + (", ids binary" if with_ids else "") + ", sequence_id long, offset long"
-    dealt = pieces.withColumn("grp", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("grp").applyInPandas(place, schema)

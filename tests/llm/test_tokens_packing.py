@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -90,3 +91,10 @@ def test_packing(spark, sf, odd, empty):
     assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in kept)
     many = packing.pack(odd, group_pieces=4).collect()
     check_packed(many, {r.doc_id: r.text or "" for r in odd.collect()}, e)
+
+
+def test_pieces_of_many_small_files_are_dealt_evenly(spark):
+    docs = spark.range(0, 2_000, numPartitions=200).selectExpr("id AS doc_id", "concat('word ', id) AS text")
+    rows = packing.pack(docs, group_pieces=125).collect()
+    sizes = Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) == 2_000 and len(sizes) == 16 and max(sizes.values()) < 250
