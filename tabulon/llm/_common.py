@@ -64,6 +64,11 @@ def hex64(c) -> "F.Column":
     return F.lpad(F.lower(F.hex(c)), 16, "0")
 
 
+def row_key(docs: DataFrame) -> "F.Column":
+    """A hash of a row's whole content: equal rows, which nothing tells apart, share one, others don't."""
+    return F.unhex(F.sha2(F.to_json(F.struct(*docs.columns)), 256))
+
+
 def source_order(df: DataFrame, keys: list[str], name: str = "position") -> DataFrame:
     """Dense positions from 0 in the order of *keys*, without a single-partition window.
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, cut, source_order
+from ._common import WORD, cut, row_key, source_order
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -141,22 +141,28 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, shard
     return used.unionByName(left_out)
 
 
-def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """The rows of *docs* as often as the mix takes them; one cut by its source's target keeps its first words.
 
-    A cut text's words are joined by single spaces; n_chars, where there is one, follows the text.
+    A run over a document stays whole: it stands where the tree and the shuffle put its first piece,
+    and rows come in the order of shard and position. A cut text's words are joined by single spaces;
+    n_chars, where there is one, follows the text.
     """
-    units, _ = on_line(docs, seed)
-    keyed = docs.select(F.struct(*docs.columns).alias("doc"), n_words().alias("_size"))  # whatever its columns are called
-    u = units.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "size", "source_size", "target", "begin")
-    same = F.col("doc.doc_id").eqNullSafe(u._id) & F.col("doc.source").eqNullSafe(u._source) & (F.col("_size") == u["size"])
-    copy = F.row_number().over(Window.partitionBy("_id", "_source", "size").orderBy(F.lit(0))) - 1
-    joined = keyed.join(u, same).withColumn("begin", F.col("begin") + copy * F.col("size"))
-    takes = F.filter(F.array(*[_taken(F.col("begin"), k) for k in range(MOST)]), lambda x: x > 0)
-    rows = joined.withColumn("take", F.explode(takes))
-    cut_text = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("take").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("take") < F.col("size"), cut_text).otherwise(F.col("doc.text")))
+    pieces = mix(docs, seed, block_words, shard_blocks).where("shard is not null")
+    runs = pieces.groupBy("doc_id", "source", "size", "copy", "lap").agg(F.min_by(F.struct("shard", "position"), "from_word").alias("_at"), F.sum("words").alias("_take"))
+    runs = runs.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copy").alias("_nth"), "_at", "_take")
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), row_key(docs).alias("_key"))  # whatever its columns are called
+    light = docs.select("doc_id", "source", n_words().alias("size"), row_key(docs).alias("_key")).groupBy("doc_id", "source", "size", "_key").agg(F.count(F.lit(1)).alias("same"))
+    alike = Window.partitionBy("doc_id", "source", "size").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    light = light.withColumn("from", F.coalesce(F.sum("same").over(alike), F.lit(0)))
+    light = light.withColumn("copy", F.explode(F.sequence("from", F.col("from") + F.col("same") - 1)))
+    match = light.doc_id.eqNullSafe(runs._id) & light.source.eqNullSafe(runs._source) & (F.col("size") == F.col("_size")) & (F.col("copy") == F.col("_nth"))
+    runs = light.join(runs, match).select("_key", "_size", "_at", "_take")
+    rows = keyed.dropDuplicates(["_key"]).join(runs, "_key")  # texts move here and to their place, no further time
+    cut_text = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("_take").cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col("_take") < F.col("_size"), cut_text).otherwise(F.col("doc.text")))
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+    rows = rows.select("_at", F.struct(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]).alias("doc"))
+    return rows.repartitionByRange("_at").sortWithinPartitions("_at").select("doc.*")

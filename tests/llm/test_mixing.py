@@ -84,3 +84,20 @@ def test_odd_rows(spark, odd, empty):
     assert docs.columns == odd.columns
     words = sum(len(re.findall(r"[^ \t-\r]+", r.text)) for r in docs.collect())
     assert abs(words - sum(u.taken for u in units)) == 0
+
+
+def test_documents_come_in_the_order_of_the_draw(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    first, taken = {}, {}
+    for r in mixing.mix(docs, block_words=300, shard_blocks=8).where("words > 0").collect():
+        k = (r.doc_id, r.lap)
+        taken[k] = taken.get(k, 0) + r.words
+        if r.from_word == 0:
+            first[k] = (r.shard, r.position)
+    path = str(tmp_path / "mixed")
+    mixing.mixed_documents(docs, block_words=300, shard_blocks=8).write.parquet(path)
+    rows = spark.read.parquet(path).select("doc_id", "text", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")).collect()
+    rows.sort(key=lambda r: (r.file.rsplit("/", 1)[1], r.at))
+    assert [r.doc_id for r in rows] == [k[0] for k in sorted(first, key=first.get)] and len({s for s, _ in first.values()}) > 16
+    words = lambda t: len(re.findall(r"[^ \t-\r]+", t))
+    assert [words(r.text) for r in rows] == [taken[k] for k in sorted(first, key=first.get)]
