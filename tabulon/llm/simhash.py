@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, hex64
+from ._common import cut, hex64, row_key
 from .graph import components
 
 DISTANCE = 2
@@ -48,17 +48,18 @@ def simhash(text: str, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * total > len(starts), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (signed long) of each row; a null text is an empty one."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, key: str = "doc_id long") -> DataFrame:
+    """The columns of *key* and fp (signed long) of each row; a null text is an empty one."""
+    names = [k.split()[0] for k in key.split(",")]
 
     def hashed(batches):
         import pyarrow as pa
 
         for b in batches:
-            fps = [simhash(t.as_py() or "", width) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [simhash(t.as_py() or "", width) for t in b.column(len(names))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.int64())], [*names, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(hashed, "doc_id long, fp long")
+    return docs.select(*names, "text").mapInArrow(hashed, f"{key}, fp long")
 
 
 def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, bucket: int = BUCKET) -> DataFrame:
@@ -94,15 +95,27 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = SHIN
     component; rows with a null doc_id belong to their component but never name it unless alone.
     """
     fps = cut(fingerprints(docs, width))
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = cut(components(links(fps.select("fp").distinct(), distance, blocks, bucket)))
-    placed = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = _placed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), distance, blocks, bucket)
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     component = placed.join(named, "root").select("fp", "component_id")
     return fps.join(component, "fp").select("doc_id", hex64("fp").alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of *docs*, one for each component: its smallest doc_id (any one of its repeats)."""
-    kept = near_duplicates(docs, distance).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(docs.columns)
+def _placed(least: DataFrame, distance: int, blocks: int, bucket: int) -> DataFrame:
+    """fp, least, root (smallest fingerprint of its component) for *least* (distinct fp, least)."""
+    roots = cut(components(links(least.select("fp"), distance, blocks, bucket)))
+    return least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_representatives(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE, blocks: int = BLOCKS, bucket: int = BUCKET) -> DataFrame:
+    """The rows of *docs*, one for each component: the one with its smallest doc_id, nulls last.
+
+    Rows are told apart by their content, not by doc_id: a null id keeps its row where no other row of
+    the component has one, and texts of different components under one id all stay.
+    """
+    keyed = docs.withColumn("_key", row_key(docs))
+    fps = cut(fingerprints(keyed, width, "doc_id long, _key binary"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key")
+    placed = _placed(fps.groupBy("fp").agg(F.min(order).alias("least")), distance, blocks, bucket)
+    kept = placed.groupBy("root").agg(F.min("least")["_key"].alias("_key")).select("_key")
+    return keyed.dropDuplicates(["_key"]).join(kept, "_key", "left_semi").select(docs.columns)

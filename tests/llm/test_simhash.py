@@ -81,3 +81,11 @@ def test_odd_rows(odd, empty):
     kept = simhash.keep_representatives(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 6, 7, 8]
     assert simhash.keep_representatives(empty).count() == 0
+
+
+def test_representatives_are_rows_not_ids(spark):
+    words = [f"w{i}" for i in range(400)]
+    text = [" ".join(words[i::4]) for i in range(4)]
+    rows = [(None, text[0]), (None, text[0]), (7, text[1]), (7, text[2]), (5, text[1]), (None, text[1]), (None, text[3])]
+    kept = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([(None, text[0]), (5, text[1]), (7, text[2]), (None, text[3])], kept.schema).collect()))
