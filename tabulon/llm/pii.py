@@ -158,14 +158,15 @@ def _extracted(docs: DataFrame) -> DataFrame:
 
 
 def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, least_seeds: float = LEAST_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
-    """pattern, kind, trust for patterns that hold enough seeds and are trusted enough.
+    """pattern, kind, trust for patterns that hold enough believed instances and are trusted enough.
 
     *seen*: kinds, seed, instance, patterns. A pattern's trust for a kind is F / (N + 1), where N
-    counts its distinct instances of any kind and F sums their beliefs for this one.
+    counts its distinct instances of any kind and F sums their beliefs for this one. F must reach
+    *least_seeds* in the round itself, so instances found in one round support patterns of the next.
     """
     edges = seen.select("seed", "instance", "kinds", F.explode("patterns").alias("pattern")).distinct()
-    n = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("n"), F.count_distinct(F.when(F.col("seed"), F.col("instance"))).alias("seeds"))
-    n = n.where(F.col("seeds") >= least_seeds).drop("seeds")
+    n = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("n"))
+    n = n.where(F.col("n") >= least_seeds)  # F is at most N; which instances are believed is found round by round
     edges = cut(edges.join(n, "pattern").select("pattern", "n", "instance", "seed", F.explode("kinds").alias("kind")))
     belief = edges.where("seed").select("instance", "kind", F.lit(1.0).alias("belief")).distinct()
     for left in range(rounds, -1, -1):

@@ -98,3 +98,16 @@ def test_forms_on_random_strings():
     for _ in range(20_000):
         t = "".join(rng.choice(rng.choice(("ab1@@..-_%+2 ", "123.. a", "+1 (2)-.3"))) for _ in range(rng.randint(1, 40)))
         assert [(k, a, b) for a, b, k in pii.base_spans(t)] == plain(t), t
+
+
+def test_discovered_identifiers_support_further_patterns(spark):
+    local = [f"555 {i} 1234" for i in range(200, 212)]
+    rows = [f"for orders dial +1 (555) {i:03d}-4567 today, please" for i in range(100, 300)]
+    rows += [f"for orders dial {p} today, please" for p in local]
+    rows += [f"our own hotline {p} is open" for p in local]  # no seed stands in this context
+    unseen = "our own hotline 555 999 4321 is open"
+    rows += [unseen] + [f"build number {1000000 + i} passed" for i in range(12)]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.text: [(s.kind, r.text[s.start : s.end]) for s in r._found] for r in pii.find(table).collect()}
+    assert got[unseen] == [("phone", "555 999 4321")]
+    assert not any(v for t, v in got.items() if t.startswith("build"))
