@@ -46,10 +46,15 @@ def _centroids(x: np.ndarray, lists: int, rng: np.random.Generator, rounds: int
 
 def scan(rows: np.ndarray, turned: np.ndarray, ids: np.ndarray, query: np.ndarray, q_turned: np.ndarray, own: int, k: int, epsilon: float, block: int) -> tuple[np.ndarray, np.ndarray]:
     """The k nearest of *rows* to *query*: (ids, distances), by the adaptive scan over *turned* columns."""
+    at, exact = _scan(rows, turned, ids, query, q_turned, own, k, epsilon, block)
+    return ids[at], exact
+
+
+def _scan(rows: np.ndarray, turned: np.ndarray, ids: np.ndarray, query: np.ndarray, q_turned: np.ndarray, own: int, k: int, epsilon: float, block: int) -> tuple[np.ndarray, np.ndarray]:
     dims = turned.shape[1]
     alive = np.flatnonzero(ids != own)
     if len(alive) == 0:
-        return ids[:0], np.zeros(0)
+        return alive, np.zeros(0)
     part, bar, done = np.zeros(len(alive)), np.inf, 0
     while done < dims and len(alive) > k:
         step = slice(done, min(dims, done + block))
@@ -65,14 +70,16 @@ def scan(rows: np.ndarray, turned: np.ndarray, ids: np.ndarray, query: np.ndarra
     diff = rows[alive] - query
     exact = np.sqrt((diff * diff).sum(axis=1))
     order = np.lexsort((ids[alive], exact))[:k]
-    return ids[alive][order], exact[order]
+    return alive[order], exact[order]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SAMPLE, probed: float = PROBED, epsilon: float = EPSILON, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest among all *vectors* but itself.
 
     *vectors* and *queries*: vec_id, embedding. Unusable vectors take no part; repeated ids are repeated
-    candidates. Lists and rotation are fitted on at most about *sample* rows (by hash of the id) and
+    candidates, repeated queries are asked once, and a query id with several vectors gets the candidates
+    nearest to any of them, each row once. Vectors are compared with those of their own length: the most
+    frequent length has fitted lists, any other is one list that is scanned whole. Lists and rotation are fitted on at most about *sample* rows (by hash of the id) and
     bounded by MOST_LISTS x dimensions. Lists are cut into chunks of about CHUNK rows, and their queries
     into chunks too, so no task holds a whole list, however large. Fewer candidates than k give fewer rows.
     """
@@ -82,7 +89,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SA
     if not total:
         return vectors.sparkSession.createDataFrame([], out)
     dims = every.groupBy("n").count().orderBy(F.desc("count"), "n").first()["n"]
-    every = every.where(F.col("n") == dims).drop("n")  # vectors of another length have no distance to these
+    others = every.where(F.col("n") != dims).select("vec_id", "v", (-F.col("n")).alias("list"))
+    every = every.where(F.col("n") == dims).drop("n")
     share = int(min(1.0, sample / total) * 1_000_000)
     fit = np.array([r.v for r in every.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < share).orderBy("vec_id").select("v").limit(2 * sample).collect()]).reshape(-1, dims)
     if len(fit) == 0:
@@ -107,10 +115,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SA
         return nearest
 
     placed = "vec_id long, v array<double>, near array<int>"
-    stored = cut(every.mapInArrow(to_lists(1), placed).select("vec_id", "v", F.element_at("near", 1).alias("list")))
-    sizes = {r.list: r["count"] for r in stored.groupBy("list").count().collect()}  # at most MOST_LISTS
-    asked = usable(queries).where(F.size("v") == dims).mapInArrow(to_lists(probes), placed)
-    asked = cut(asked.select("vec_id", "v", F.explode("near").alias("list")))
+    stored = cut(every.mapInArrow(to_lists(1), placed).select("vec_id", "v", F.element_at("near", 1).alias("list")).unionAll(others))
+    sizes = {r.list: r["count"] for r in stored.groupBy("list").count().collect()}  # at most MOST_LISTS and a row for each other length
+    asked = cut(usable(queries).distinct())
+    odd = asked.where(F.size("v") != dims).select("vec_id", "v", (-F.size("v")).alias("list"))
+    asked = asked.where(F.size("v") == dims).mapInArrow(to_lists(probes), placed)
+    asked = cut(asked.select("vec_id", "v", F.explode("near").alias("list")).unionAll(odd))
     wanted = {r.list: r["count"] for r in asked.groupBy("list").count().collect()}
     cuts = F.create_map(*[x for k_, n in sizes.items() for x in (F.lit(k_), F.lit(-(-n // CHUNK)))])
     q_cuts = F.create_map(*[x for k_ in sizes for x in (F.lit(k_), F.lit(max(1, -(-wanted.get(k_, 0) // QUERY_CHUNK))))])
@@ -120,12 +130,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SA
     def scanned(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(q) and len(c):
-            turn = shared.value[1]
             rows, ids = np.stack(c["v"].to_numpy()), c["vec_id"].to_numpy()
+            turn = shared.value[1] if rows.shape[1] == dims else np.eye(rows.shape[1])
             turned, asks = rows @ turn, np.stack(q["v"].to_numpy())
+            nearest: dict[int, dict[int, float]] = {}
             for one, x, y in zip(q["vec_id"].tolist(), asks, asks @ turn):
-                got, score = scan(rows, turned, ids, x, y, one, k, epsilon, BLOCK)
-                found += zip([one] * len(got), got.tolist(), score.tolist())
+                best = nearest.setdefault(one, {})
+                for at, score in zip(*(z.tolist() for z in _scan(rows, turned, ids, x, y, one, k, epsilon, BLOCK))):
+                    best[at] = min(score, best.get(at, np.inf))
+            for one, best in nearest.items():
+                found += [(one, int(ids[at]), score) for at, score in sorted(best.items(), key=lambda z: (z[1], ids[z[0]]))[:k]]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     keys = ["list", "chunk", "part"]

@@ -61,3 +61,19 @@ def test_chunks_of_lists_and_queries(spark, monkeypatch):
     for r in ann.search(table, table.where("vec_id % 100 = 0"), probed=1.0, epsilon=9).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
     assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in brute(vectors).items()}
+
+
+def test_repeated_queries_and_other_lengths(spark):
+    rng = np.random.default_rng(2)
+    vectors = [(i, rng.normal(size=4).tolist()) for i in range(1, 60)]
+    short = [(1000 + i, [float(i), 1.0]) for i in range(5)]
+    asks = [(0, [0.0, 0.1, 0.0, 0.0])] * 10 + [(100, [9.0, 0.0, 0.0, 0.0]), (100, [-9.0, 0.0, 0.0, 0.0])]
+    table = spark.createDataFrame([*vectors, *short, *asks], "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(ann.search(table, table.where("vec_id % 100 = 0"), probed=1.0, epsilon=9).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    every = [*vectors, *asks]
+    for q in (0, 100):
+        near = sorted((min(np.linalg.norm(np.array(v) - x) for i, x in asks if i == q), i) for i, v in every if i != q)
+        assert got[q] == [(i, round(float(d), 9)) for d, i in near[:10]]
+    assert got[1000] == [(1001, 1.0), (1002, 2.0), (1003, 3.0), (1004, 4.0)]
