@@ -549,7 +549,12 @@ class Series(_Named):
         codes = ordered.positions(values, [F.col("v")], "__code__")
         frame = self._frame._select({"__v__": self.col})
         joined = frame._rows(frame.df.join(codes, F.col("__v__") == F.col("v"), "left"))
-        return Series(joined, F.coalesce("__code__", F.lit(na_sentinel)), self.name), pd.Index([r.v for r in codes.orderBy("__code__").limit(get_option("compute.max_rows")).collect()])
+        most = get_option("compute.max_rows")
+        found = codes.orderBy("__code__")
+        found = [r.v for r in (found if most is None else found.limit(most + 1)).collect()]
+        if most is not None and len(found) > most:
+            raise ValueError(f"more than compute.max_rows ({most}) distinct values to return; raise the option to factorize them")
+        return Series(joined, F.coalesce("__code__", F.lit(na_sentinel)), self.name), pd.Index(found)
 
     # ---- sort --------------------------------------------------------------------------------------
     def sort_values(self, ascending=True, inplace=False, na_position="last") -> "Series":

@@ -335,3 +335,9 @@ def test_small_helpers(f, pdf):
     same(f.spark.analyzed[["a"]], pdf[["a"]])
     with pytest.raises(ImportError):
         tb.load_model("no such model")
+
+
+def test_factorize_never_cuts_its_values(spark):
+    s = tb.wrap(spark.range(1200), "id", "id").index.to_series()
+    with pytest.raises(ValueError):
+        s.factorize()
