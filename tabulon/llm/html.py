@@ -3,7 +3,8 @@
 A page's text nodes are grouped by their path of tags (with classes) from the root. For each path the
 length and punctuation of its text against the number of its nodes and links are summed; both ratios
 are smoothed over neighbouring paths in page order, fused by their product, and paths above a share of
-the page's weighted mean are content. Paths through menus, forms, notices and the like never are.
+the page's weighted mean are content. Paths through menus, forms, notices and the like never are; where only a class or id
+says so, that holds for elements with the minor part of the page's text weighted by these ratios.
 Blocks under the nearest common ancestor of content paths that hold plain text, headings or lists
 belong to the article too.
 """
@@ -29,8 +30,8 @@ OUTSIDE = frozenset("nav footer aside form button dialog menu head fieldset".spl
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 P_CLOSERS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 NOT_CONTENT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|side-?bar\w*|rail|footer\w*|site-?header|masthead|topbar|"
-    r"cookie\w*|consent\w*|gdpr|notice\w*|alert|popup|modal|newsletter|subscri\w*|signup|login|comment\w*|disqus\w*|respon[ds]\w*|repl(?:y|ies)|discussion|"
+    r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?<!\bno[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|side-?bar\w*|rail|footer\w*|site-?header|masthead|topbar|"
+    r"cookie\w*|consent\w*|gdpr|notice\w*|alert|popup|modal|newsletter|subscri\w*|signup|login|comment\w*|disqus\w*|respon(?:d|se)\w*|repl(?:y|ies)|discussion|"
     r"share\w*|sharing|social\w*|related\w*|recommend\w*|widget\w*|pagination|pager|copyright|legal|disclaimer|hidden|skip\w*|search\w*|form|toolbar|tags?|"
     r"author-?bio|outbrain|taboola)(?:$|[\s_-])",
     re.I,
@@ -44,10 +45,10 @@ MOST_DEPTH = 512
 
 
 class _Block:
-    __slots__ = ("path", "parts", "linked", "barred")
+    __slots__ = ("path", "parts", "linked", "barred", "named", "inside")
 
-    def __init__(self, path, barred):
-        self.path, self.parts, self.linked, self.barred = path, [], 0, barred
+    def __init__(self, path, barred, named, inside):
+        self.path, self.parts, self.linked, self.barred, self.named, self.inside = path, [], 0, barred, named, inside
 
 
 def _decoded(raw: str) -> str:
@@ -60,20 +61,29 @@ def _attributes(text: str) -> dict:
 
 
 def _bars(tag: str, attrs: dict, inside: bool) -> bool:
-    """Whether an element is set apart from the article."""
+    """Whether an element is set apart from the article by its tag, role or style."""
     if tag in OUTSIDE or tag == "header" and not inside or attrs.get("role", "").lower() in ROLES:
         return True
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         return True
+    return False
+
+
+def _named(tag: str, attrs: dict) -> bool:
+    """Whether an element's class or id sounds as if it were set apart."""
     if tag in ("html", "body", "main", "article"):
         return False
     return any(NOT_CONTENT.search(f"{attrs.get(k, '')}") for k in ("class", "id"))
 
 
-def blocks(html: str) -> list[_Block]:
-    """The text blocks of a page in order, each with its tag path."""
-    out, stack, at = [], [], 0  # stack: (tag, path of block elements down to it, barred, block-level, depth of that path)
+def blocks(html: str) -> tuple[list[_Block], list[int]]:
+    """The text blocks of a page in order, each with its tag path, and for each element barred by name the one around it (-1: none).
+
+    A block's *named* is the innermost such element around it.
+    """
+    out, stack, at = [], [], 0  # stack: (tag, path of block elements down to it, barred, block-level, depth of that path, named)
     current, open_tags, open_barred = None, Counter(), 0
+    around, open_named = [], []
 
     def say(raw: str) -> None:
         nonlocal current
@@ -82,7 +92,7 @@ def blocks(html: str) -> list[_Block]:
         if current is None:
             if not raw.strip():
                 return
-            current = _Block(stack[-1][1] if stack else "", open_barred > 0)
+            current = _Block(stack[-1][1] if stack else "", open_barred > 0, open_named[-1] if open_named else -1, open_tags["article"] + open_tags["main"] > 0)
             out.append(current)
         text = _decoded(raw)
         current.parts.append(text)
@@ -94,7 +104,9 @@ def blocks(html: str) -> list[_Block]:
         for s in stack[k:]:
             open_tags[s[0]] -= 1
             open_barred -= s[2]
-            if s[3] or s[2]:
+            if s[5]:
+                open_named.pop()
+            if s[3] or s[2] or s[5]:
                 current = None
         del stack[k:]
 
@@ -117,7 +129,7 @@ def blocks(html: str) -> list[_Block]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     if tag in INLINE and any(s[3] for s in stack[k + 1 :]):  # misnested: only the inline element ends
-                        if not stack[k][2]:
+                        if not stack[k][2] and not stack[k][5]:
                             open_tags[tag] -= 1
                             del stack[k]
                         break
@@ -156,17 +168,21 @@ def blocks(html: str) -> list[_Block]:
         inside = open_tags["article"] + open_tags["main"] > 0
         block = tag not in INLINE
         barred = _bars(tag, attrs, inside) if block or attrs else False
-        if block or barred:
+        named = not barred and _named(tag, attrs)
+        if block or barred or named:
             current = None
         name = tag + "".join(f".{c}" for c in sorted(attrs.get("class", "").replace("/", "|").split()))
         if not m["attrs"].rstrip().endswith("/") or block:
             path, depth = (stack[-1][1], stack[-1][4]) if stack else ("", 0)
             if block and depth < MOST_DEPTH:
                 path, depth = f"{path}/{name}" if depth else name, depth + 1
-            stack.append((tag, path, barred, block, depth))
+            stack.append((tag, path, barred, block, depth, named))
+            if named:
+                around.append(open_named[-1] if open_named else -1)
+                open_named.append(len(around) - 1)
             open_tags[tag] += 1
             open_barred += barred
-    return out
+    return out, around
 
 
 def _smoothed(values: list[float]) -> list[float]:
@@ -179,13 +195,28 @@ def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
         return ""
     if not isinstance(html, str):
         html = str(html)
-    kept = []
-    for b in blocks(html):
+    kept, (found, around) = [], blocks(html)
+    for b in found:
         text = _SPACE.sub(" ", "".join(b.parts)).strip()
         if text and not b.barred:
             kept.append((b, text))
+    if around and kept:
+        apart = _apart(kept, around)
+        kept = [(b, text) for b, text in kept if b.named < 0 or not apart[b.named]]
     if not kept:
         return ""
+    sums, fused = _ratios(kept)
+    paths = list(sums)
+    weight = sum(s[0] for s in sums.values())
+    bar = threshold * sum(fused[p] * sums[p][0] for p in paths) / weight
+    chosen = {p for p in paths if fused[p] >= bar and sums[p][3] <= 0.6 * sums[p][0]}
+    root = _article({p: sums[p][0] for p in paths if p in chosen})
+    under = {p: _under(p, root) for p in paths}
+    return "\n".join(text for b, text in kept if under[b.path] and (b.path in chosen or _belongs(b, text, root)))
+
+
+def _ratios(kept: list[tuple[_Block, str]]) -> tuple[dict[str, list[float]], dict[str, float]]:
+    """Sums of each path (characters, points, blocks, linked characters) and its fused ratio."""
     sums: dict[str, list[float]] = {}
     for b, text in kept:
         s = sums.setdefault(b.path, [0, 0, 0, 0])
@@ -195,12 +226,29 @@ def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
     lengths = _smoothed([(s[0] - s[3]) / s[2] for s in sums.values()])
     points = _smoothed([(1 + s[1]) / s[2] for s in sums.values()])
     fused = {p: (max(0.0, a) * b) ** 0.5 for p, a, b in zip(paths, lengths, points)}
-    weight = sum(s[0] for s in sums.values())
-    bar = threshold * sum(fused[p] * sums[p][0] for p in paths) / weight
-    chosen = {p for p in paths if fused[p] >= bar and sums[p][3] <= 0.6 * sums[p][0]}
-    root = _article({p: sums[p][0] for p in paths if p in chosen})
-    under = {p: _under(p, root) for p in paths}
-    return "\n".join(text for b, text in kept if under[b.path] and (b.path in chosen or _belongs(b, text, root)))
+    return sums, fused
+
+
+def _apart(kept: list[tuple[_Block, str]], around: list[int]) -> list[bool]:
+    """For each element barred by name whether it, or one around it, stays so: those that hold most of the page don't.
+
+    Text counts by its ratio; where there is text in an article or main element, only that counts.
+    """
+    _, fused = _ratios(kept)
+    weigh = [fused[b.path] * len(text) for b, text in kept]
+    marked = [w if b.inside else 0.0 for (b, _), w in zip(kept, weigh)]
+    weigh = marked if any(marked) else weigh
+    held = [0.0] * len(around)
+    for (b, _), w in zip(kept, weigh):
+        if b.named >= 0:
+            held[b.named] += w
+    for k in range(len(around) - 1, -1, -1):  # an element stands behind the one around it
+        if around[k] >= 0:
+            held[around[k]] += held[k]
+    apart, total = [], sum(weigh)
+    for k, up in enumerate(around):
+        apart.append(held[k] <= 0.5 * total or up >= 0 and apart[up])
+    return apart
 
 
 def _under(path: str, root: tuple[str, ...]) -> bool:

@@ -61,3 +61,20 @@ def test_deep_elements_keep_their_text():
 def test_references_and_classes():
     assert main_text("<p>&#" + "9" * 5000 + "; &#00000000065; x, y.</p>") == "\ufffd A x, y."
     assert main_text('<div class="w-1/2 body"><h2>Title</h2><p>A long enough paragraph, with a point.</p></div>') == "Title\nA long enough paragraph, with a point."
+
+
+def test_class_names_bar_no_wrapper_of_the_article():
+    for wrap in ("<article>%s</article>", "%s"):
+        for name in ("content has-sidebar", "post with-sidebar", "container responsive", "no-nav", "legal", "page-form"):
+            page = PAGE.replace("<body>", f'<body><div class="{name}">').replace("</body>", "</div></body>") % (wrap % f"<div>{ARTICLE}</div>")
+            assert main_text(page).replace("\xa0", " ") == WANT, (wrap, name)
+    table = '<div class="table-responsive"><table><tr><td>Of a table, one cell.</td><td>And, next, another.</td></tr></table></div>'
+    assert main_text(PAGE % f"<article>{ARTICLE}{table}</article>").endswith("Of a table, one cell.\nAnd, next, another.")
+    talk = '<div class="comments">' + "<p>I disagree, strongly, with all of this. It is wrong.</p>" * 40 + "</div>"
+    assert main_text(PAGE % f"<article>{ARTICLE}</article>{talk}").replace("\xa0", " ") == WANT
+
+
+def test_nested_names_take_linear_time():
+    start = time.perf_counter()
+    main_text('<div class="ad">x, y.' * 20_000)
+    assert time.perf_counter() - start < 10
