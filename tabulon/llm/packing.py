@@ -86,10 +86,10 @@ def tokenised_pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOK
         for b in batches:
             out = [[] for _ in names]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.append(e.ids(text.as_py() or ""), np.uint32(separator)).astype("<u4")
-                for start in range(0, len(ids), window):
-                    part = ids[start : start + window].tobytes()
-                    for column, value in zip(out, (doc_id, start, len(part) // 4, zlib.crc32(part), len(ids), part)):
+                ids = b"".join([*e.pieces(text.as_py() or ""), np.uint32(separator).astype("<u4").tobytes()])
+                for start in range(0, len(ids), 4 * window):
+                    part = ids[start : start + 4 * window]
+                    for column, value in zip(out, (doc_id, start // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names)
 

@@ -3,13 +3,17 @@
 A text no longer than ``chunk_chars`` is encoded at once. A longer one is encoded in overlapping
 chunks with offsets. Two neighbouring chunks are spliced at a boundary that both encodings have and
 that is proven stable: the code point before it is a letter or a number and the one after it is of
-another class, so whatever precedes, a pre-token ends there. Where the overlap holds no such
-boundary it is doubled, at last the left chunk is lengthened. The ids are those of the whole text;
-only one chunk's encoding is held at a time.
+another class, so whatever precedes, a pre-token ends there. Where the encodings disagree the overlap is
+doubled; where the chunk holds no such boundary it is doubled itself, so that the work stays linear. The ids
+are those of the whole text; only one chunk's encoding is held at a time.
+
+All ids come from the library for the tokenizer's file. Of the byte-level vocabulary, whose pre-tokens are
+encoded one by one, a worker keeps the ids of those that it has seen.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -19,104 +23,144 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 TOKENIZER = "byte_bpe_50k.json"
-CHUNK_CHARS = 65_536
-OVERLAP_CHARS = 1_024
-
-#: Up to here the two libraries class all code points alike (checked one by one in the tests).
-_BEYOND = re.compile("[^\x00-ɏ]")
+CHUNK_CHARS = 8_192
+OVERLAP_CHARS = 128
+#: Pre-tokens that a worker keeps, and the longest of them.
+KNOWN, KNOWN_CHARS = 600_000, 64
 
 
 def _stable(text: str, p: int, special: tuple[str, ...]) -> bool:
     """Whether a pre-token ends at *p* whatever stands before it."""
-    before = unicodedata.category(text[p - 1])[0]
-    if before not in "LN" or unicodedata.category(text[p])[0] == before:
+    before, after = unicodedata.category(text[p - 1])[0], unicodedata.category(text[p])
+    if before not in "LN" or after[0] == before or after in ("Cn", "Co", "Cs"):  # a library may class unassigned ones otherwise
         return False
     return not any(s in text[max(0, p - len(s) + 1) : p + len(s) - 1] for s in special)
 
 
+def _boundary(text: str, low: int, high: int, special: tuple[str, ...]) -> int:
+    """The last proven stable boundary above *low* and below *high*; 0 if there is none."""
+    return next((p for p in range(high - 1, low, -1) if _stable(text, p, special)), 0)
+
+
 def spliced(text: str, encode: Callable, chunk: int, overlap: int, special: tuple[str, ...] = ()) -> Iterator[np.ndarray]:
     """Yield the ids of *text*, chunk by chunk. ``encode(str)`` returns (ids, end offsets in code points)."""
     n, base, done = len(text), 0, 0  # the chunk at hand starts at base; its tokens up to done are out
     end = min(n, chunk)
     ids, ends = encode(text[:end])
-    while True:
-        if end == n:
-            yield ids[np.searchsorted(ends, done, "right") :]
-            return
-        reach, at = overlap, 0
-        while not at:
-            start = max(base, end - reach)
-            stop = min(n, start + chunk)
-            if stop <= end or start <= done and reach > overlap:  # no stable boundary in the whole chunk: lengthen it
-                end = min(n, end + chunk)
-                ids, ends = encode(text[base:end])
-                ends = ends + base
-                break
+    while end < n:
+        at, reach = _boundary(text, done, end, special), overlap
+        while at:
+            start, stop = max(base, at - reach), min(n, at + chunk)
             right, right_ends = encode(text[start:stop])
             right_ends = right_ends + start
-            common = np.intersect1d(ends, right_ends)
-            common = common[(common > max(done, start)) & (common < end)]
-            at = next((int(p) for p in common[::-1] if _stable(text, int(p), special)), 0)
-            reach *= 2
+            if _has(ends, at) and _has(right_ends, at):
+                break
+            if start > base:
+                reach *= 2
+            else:
+                at, reach = _boundary(text, done, at, special), overlap
         if at:
             yield ids[np.searchsorted(ends, done, "right") : np.searchsorted(ends, at, "right")]
             base, done, end, ids, ends = start, at, stop, right, right_ends
+        else:
+            end = min(n, 2 * end - base)
+            ids, ends = encode(text[base:end])
+            ends = ends + base
+    yield ids[np.searchsorted(ends, done, "right") :]
+
+
+def _has(ends: np.ndarray, at: int) -> bool:
+    k = np.searchsorted(ends, at)
+    return bool(k < len(ends) and ends[k] == at)
+
+
+def _pattern(limit: int) -> str:
+    """The byte-level pre-token pattern, its classes spelled out up to *limit*; contractions can't follow a space."""
+    letters, numbers = (re.escape("".join(c for c in map(chr, range(limit)) if unicodedata.category(c)[0] == k)) for k in "LN")
+    return rf" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{numbers}]+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+"
 
 
 class Encoder:
     """Ids of whole texts, as the library for the tokenizer's file gives them."""
 
     def __init__(self, name: str, chunk: int, overlap: int):
-        import os
-
         import public_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.chunk, self.overlap, self.fast = chunk, overlap, None
+        self.chunk, self.overlap, self.special, self.words = chunk, overlap, (), None
         if name.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
-            self.whole = lambda text: np.array(model.encode(text, num_threads=1), dtype=np.uint32)
-            self.special, self.chunk = (), float("inf")
+            self.whole, self.chunk = lambda text: np.array(model.encode(text, num_threads=1), dtype="<u4"), float("inf")
             return
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(public_tokenizers.path(name))
-        self.special = tuple(t.content for t in library.get_added_tokens_decoder().values())
-        self.library = library
-        self.whole = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        if name == TOKENIZER:
-            self.fast = self._same_ranks(public_tokenizers)
-        else:  # stable boundaries are proven for the byte-level pattern only
+        self.library = Tokenizer.from_file(public_tokenizers.path(name))
+        self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
+        self.whole = lambda text: np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        if name != TOKENIZER:  # stable boundaries are proven for the byte-level pattern only
             self.chunk = float("inf")
-
-    @staticmethod
-    def _same_ranks(public_tokenizers) -> Callable:
-        """The same vocabulary and pattern in a library five times as fast; see ids()."""
-        import base64
-
-        import tiktoken
-
-        with open(public_tokenizers.path(TOKENIZER.replace(".json", ".tiktoken")), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            return
+        self.words = re.compile(_pattern(0x250)).findall
+        #: Beyond U+024F the pattern and the library may class a code point otherwise (those up to it are compared in the tests).
+        beyond = re.compile("[^\x00-ɏ]").search
+        self.beyond = lambda text: any(s in text for s in self.special) or bool(beyond(text))
+        self.known: dict[str, bytes] = {}
+        (self.line,) = self.whole("\n").tolist()
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of distinct pre-tokens: as lines of one text, in which they stay apart, save those of white space."""
+        lines = [w for w in new if not w.isspace()]
+        ids = self.whole("\n".join(lines))
+        at, flat = [-1, *np.flatnonzero(ids == self.line).tolist(), len(ids)], ids.tobytes()
+        if lines and len(at) != len(lines) + 1:
+            raise AssertionError("a pre-token holds a line end")
+        found = {w: flat[4 * a + 4 : 4 * b] for w, a, b in zip(lines, at, at[1:])}
+        return found | {w: self.whole(w).tobytes() for w in new if w.isspace()}
+
+    def _looked_up(self, words: list[str]) -> dict[str, bytes]:
+        """A table that has every one of *words*."""
+        new = list(set(words).difference(self.known))
+        if not new:
+            return self.known
+        if len(self.known) + len(new) > KNOWN:
+            self.known.clear()
+            new = list(set(words))
+        found = self._learn(new)
+        self.known.update((w, p) for w, p in found.items() if len(w) <= KNOWN_CHARS)
+        return self.known if all(len(w) <= KNOWN_CHARS for w in new) else {**{w: self.known[w] for w in set(words) if w in self.known}, **found}
+
+    def raw(self, text: str) -> bytes:
+        """The ids of *text*, encoded at once, as little-endian 32-bit integers."""
+        if self.words is None or self.beyond(text):
+            return self.whole(text).tobytes()
+        words = self.words(text)
+        return b"".join(map(self._looked_up(words).__getitem__, words))
 
     def offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        e = self.library.encode(text, add_special_tokens=False)
-        return np.array(e.ids, dtype=np.uint32), np.array([b for _, b in e.offsets], dtype=np.int64)
-
-    def pieces(self, text: str) -> Iterator[np.ndarray | list[int]]:
-        """The ids of *text*, a part at a time."""
+        """Ids of *text* and where the token, or the pre-token that it belongs to, ends."""
+        if self.beyond(text):
+            e = self.library.encode(text, add_special_tokens=False)
+            return np.array(e.ids, dtype="<u4"), np.array([b for _, b in e.offsets], dtype=np.int64)
+        words = self.words(text)
+        parts = list(map(self._looked_up(words).__getitem__, words))
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+        return np.frombuffer(b"".join(parts), dtype="<u4"), np.repeat(ends, [len(p) // 4 for p in parts])
+
+    def pieces(self, text: str) -> Iterator[bytes]:
+        """The ids of *text*, a part at a time, as little-endian 32-bit integers."""
         if len(text) > self.chunk:
-            yield from spliced(text, self.offsets, self.chunk, self.overlap, self.special)
-        elif self.fast and not _BEYOND.search(text) and not any(s in text for s in self.special):
-            yield self.fast(text)
-        else:
-            yield self.whole(text)
+            for ids in spliced(text, self.offsets, self.chunk, self.overlap, self.special):
+                yield ids.tobytes()
+        elif text:
+            yield self.raw(text)
+
+    def count(self, text: str) -> int:
+        return sum(map(len, self.pieces(text))) // 4
 
     def ids(self, text: str) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.uint32), *(np.asarray(x, dtype=np.uint32) for x in self.pieces(text))])
+        return np.frombuffer(b"".join(self.pieces(text)), dtype="<u4")
 
 
 @lru_cache(maxsize=4)
@@ -129,7 +173,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, chunk_chars: int =
     """doc_id, n_bytes, n_tokens of each row of *docs* (doc_id, text; other columns are ignored).
 
     A null or empty text has 0 bytes and 0 tokens; repeated rows are counted each; an empty table
-    gives an empty one. One narrow pass: no shuffle, no state beyond a chunk.
+    gives an empty one. One narrow pass: no shuffle, no state beyond a chunk and the known pre-tokens.
     """
 
     def count(batches):
@@ -139,7 +183,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, chunk_chars: int =
         e = encoder(tokenizer, chunk_chars, overlap_chars)
         for b in batches:
             texts = b.column(1)
-            n = [sum(map(len, e.pieces(t.as_py() or ""))) if t.is_valid else 0 for t in texts]
+            n = [e.count(t.as_py()) if t.is_valid else 0 for t in texts]
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

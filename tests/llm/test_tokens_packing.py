@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -10,11 +11,32 @@ from tabulon.llm import packing, queries, tokens
 PARTS = ["a", "b", " ", "  ", "\n", "'s", "é", "1", "23", ".", "!!", "<|endoftext|>", "日", "本", "x" * 7, "'re", " ", "😀"]
 
 
-def test_fast_path_agrees_on_every_code_point_it_takes():
+def test_known_pre_tokens_agree_on_every_code_point_they_take():
     e = tokens.encoder()
     for c in map(chr, range(0x250)):
-        for t in (f"a{c}b", c, f"1{c}2", f" {c} ", f"a{c}{c} b", f"'{c}"):
-            assert list(e.fast(t)) == list(e.whole(t)), repr(t)
+        for t in (f"a{c}b", c, f"1{c}2", f" {c} ", f"a{c}{c} b", f"'{c}", f"{c}\n{c} \n", f"{c} a{c}\n\n1"):
+            assert e.raw(t) == e.whole(t).tobytes(), repr(t)
+
+
+def test_known_pre_tokens_may_be_forgotten(monkeypatch):
+    monkeypatch.setattr(tokens, "KNOWN", 50)
+    r, e = random.Random(3), tokens.Encoder(tokens.TOKENIZER, 10**9, 8)
+    for _ in range(200):
+        t = "".join(r.choice([*PARTS[:11], "y" * 100, " zz", "\t", "0" * 70]) + str(r.randint(0, 99)) for _ in range(60))
+        if not e.beyond(t):
+            assert e.raw(t) == e.whole(t).tobytes(), t
+
+
+@pytest.mark.parametrize("part", [" ", "!", "a", "\u0301", "日", "ab1 "])
+def test_splicing_is_linear(part):
+    e, took = tokens.encoder(), []
+    for n in (500_000, 2_000_000):
+        text = part * (n // len(part))
+        start = time.process_time()
+        got = e.count(text)
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0] + 2
+    assert got == len(e.whole(text))
 
 
 def test_splicing_equals_whole_text():
