@@ -1,12 +1,12 @@
 """I-Match document fingerprints, in DataFrame operations alone.
 
 A text's terms are its distinct lower-case runs of letters and digits. Terms whose document frequency
-lies in a band of shares of the corpus form the lexicon. A fingerprint has a part for each of several
-random subsets of the lexicon, at rates from 1/2 downwards: the hash of the set of the text's terms in
-it. Sets are hashed by XOR of their distinct terms' 64-bit hashes, which is the same in any order and so
-stands for hashing the sorted terms, but is an aggregate that Spark compiles. A text without lexicon
-terms takes the hash of its whole lower-case text for every part. Likeness is the share of equal parts
-among those that either text fills.
+lies in a band of shares of the corpus form the lexicon. A text's distinct lexicon terms are sorted (by
+their 64-bit hashes, which stand for them), and a fingerprint has a part for the whole lexicon and for
+each of several random subsets of it, at rates from 1/32 downwards: the hash of the sorted terms that
+are in the subset; none where the text has no term there. Low rates are those that outlive an edit. A text
+without lexicon terms takes the hash of its whole lower-case text for every part. Likeness is the share of
+equal parts among those that either text fills.
 
 A band of shares bounds the lexicon: at most (mean distinct terms of a text) / (lowest share) terms,
 whatever the corpus. It is broadcast only if counted below BROADCAST_TERMS, else joined by shuffle.
@@ -14,33 +14,34 @@ whatever the corpus. It is broadcast only if counted below BROADCAST_TERMS, else
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import cut
 
 LEAST_SHARE, MOST_SHARE, LEAST_DOCS = 1e-4, 0.1, 2
-RATES = (1, 2, 3, 4, 5, 6, 7, 8)  # powers of two a term is kept by
-PER_RATE = 6
+RATES = (5, 6, 7, 8, 9, 10)  # powers of two a term is kept by
+PER_RATE = 8
+SEED = 11
 BROADCAST_TERMS = 2_000_000
 ORDER_BUCKET = 512
-_SENTINEL = "\x01"  # a term that every text has, so that no text is lost in the join
 
 
 def terms(text: Column) -> Column:
-    """The terms of a text, repeats included, and the sentinel."""
-    return F.concat(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), F.array(F.lit(_SENTINEL)))
+    """The terms of a text, repeats included; empty strings stand where it begins or ends with another character."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
 def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
-    """term (hash): those whose document frequency is in the band, and the sentinel."""
+    """term (hash): those whose document frequency is in the band."""
     n = docs.count()
     once = docs.select(F.explode(F.array_distinct(terms(F.coalesce("text", F.lit(""))))).alias("t"))
-    df = once.where((F.col("t") != "") & (F.col("t") != _SENTINEL)).groupBy(F.xxhash64("t").alias("term")).agg(F.count(F.lit(1)).alias("df"))
+    df = once.where(F.col("t") != "").groupBy(F.xxhash64("t").alias("term")).agg(F.count(F.lit(1)).alias("df"))
     inside = F.col("df").between(max(LEAST_DOCS, least * n), max(LEAST_DOCS, most * n))
     kept = cut(df.where(inside).select("term"))
-    whole = kept.unionAll(docs.sparkSession.range(1).select(F.xxhash64(F.lit(_SENTINEL)).alias("term")))
-    return F.broadcast(whole) if kept.count() <= BROADCAST_TERMS else whole
+    return F.broadcast(kept) if kept.count() <= BROADCAST_TERMS else kept
 
 
 def _order_bucket(ids: Column, bounds: list[int]) -> Column:
@@ -83,15 +84,25 @@ def edited(text: Column, after: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(F.coalesce(after, F.lit("")), F.lit(1), half))
 
 
-def _keeps(x: Column, rate: int, number: int) -> Column:
-    """Whether a term is in subset *number*: the low bits of its re-mixed hash are zero."""
-    odd = ((0x9E3779B97F4A7C15 * (2 * number + 1)) & 0x7FFFFFFF) | 1
-    mixed = F.shiftrightunsigned(x.bitwiseXOR(F.shiftrightunsigned(x, 29)), number % 23).bitwiseAND(0x3FFFFFFF) * odd
-    return F.shiftright(mixed, 11).bitwiseAND((1 << rate) - 1) == 0
+def subsets() -> list[tuple[int, int]]:
+    """(mask, pattern) of each lexicon subset: a term is in it if the masked bits of its hash are the pattern's."""
+    r, out = random.Random(SEED), [(0, 0)]
+    for rate in RATES:
+        for _ in range(PER_RATE):
+            bits = r.sample(range(64), rate)
+            mask = sum(1 << b for b in bits)
+            out.append((mask, mask & r.getrandbits(64)))
+    return [tuple(x - (1 << 64) if x >> 63 else x for x in pair) for pair in out]
+
 
+def parts(sorted_terms: Column) -> Column:
+    """The hash of each subset's terms, in their order; null where there is none."""
 
-def _subsets() -> list[tuple[int, int]]:
-    return [(rate, i * PER_RATE + j) for i, rate in enumerate(RATES) for j in range(PER_RATE)]
+    def part(mask: int, pattern: int) -> Column:
+        kept = F.filter(sorted_terms, lambda x: x.bitwiseAND(F.lit(mask)) == F.lit(pattern)) if mask else sorted_terms
+        return F.when(F.size(kept) > 0, F.xxhash64(kept))
+
+    return F.array(*[part(*s) for s in subsets()])
 
 
 def _text_of(parts: Column) -> Column:
@@ -111,23 +122,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     A null text is empty; a null doc_id sorts first; equal doc_ids are ordered by text; a lone document
     follows itself. Equal texts have equal fingerprints. The texts are shuffled once, by bucket of ids;
-    windows, distinct terms, part hashes and the join of both halves use that partitioning.
+    windows, sorted terms and the join of both halves use that partitioning.
     """
     band = lexicon(docs)
     rows = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     known = rows.select("bucket", "place", "extra", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.xxhash64(F.lower("text")).alias("all_a"), F.xxhash64(F.lower("edited")).alias("all_b"))
-
-    sides = [rows.select("bucket", "place", F.lit(s).alias("side"), F.explode(terms(F.col(c))).alias("t")) for s, c in (("a", "text"), ("b", "edited"))]
-    each = [s.select("bucket", "place", "side", F.xxhash64("t").alias("term")).join(band, "term").distinct() for s in sides]
-    mark = F.xxhash64(F.lit(_SENTINEL))
-    made = []
-    for rows_of, s in zip(each, ("a", "b")):
-        x = F.when(F.col("term") != mark, F.col("term"))
-        parts = [F.bit_xor(F.when(_keeps(x, rate, k), F.xxhash64(x, F.lit(k)))).alias(f"{s}{k}") for rate, k in _subsets()]
-        made.append(rows_of.groupBy("bucket", "place").agg(F.count(x).alias(f"n_{s}"), *parts))
-    both = known.join(made[0], ["bucket", "place"]).join(made[1], ["bucket", "place"])
-    array = lambda s: F.when(F.col(f"n_{s}") > 0, F.array(*[F.col(f"{s}{k}") for _, k in _subsets()])).otherwise(F.array_repeat(F.col(f"all_{s}"), len(_subsets())))
-    both = both.select("bucket", "place", "extra", "doc_id", "n_chars", "edited_sha256", array("a").alias("pa"), array("b").alias("pb"))
+    both = known
+    for side, c in (("a", "text"), ("b", "edited")):
+        each = rows.select("bucket", "place", F.explode(terms(F.col(c))).alias("t")).select("bucket", "place", F.xxhash64("t").alias("term")).join(band, "term")
+        held = each.groupBy("bucket", "place").agg(F.sort_array(F.collect_set("term")).alias(f"terms_{side}"))
+        both = both.join(held, ["bucket", "place"], "left")  # a text without lexicon terms has no row there
+    own = lambda s: F.when(F.col(f"terms_{s}").isNull(), F.array_repeat(F.col(f"all_{s}"), len(subsets()))).otherwise(parts(F.col(f"terms_{s}")))
+    both = both.select("bucket", "place", "extra", "doc_id", "n_chars", "edited_sha256", own("a").alias("pa"), own("b").alias("pb"))
     after = F.lead("pa").over(Window.partitionBy("bucket").orderBy("place"))
     both = both.withColumn("pn", after).where("extra = 0")
     return both.select("doc_id", "n_chars", "edited_sha256", _text_of(F.col("pa")).alias("fingerprint"), _text_of(F.col("pb")).alias("edited_fingerprint"), likeness(F.col("pa"), F.col("pb")).alias("near_edited"), likeness(F.col("pa"), F.col("pn")).alias("near_next"))
