@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by an adaptive dimension scan of probed lists.
 
 Every vector belongs to the list of its nearest centroid; centroids come from a bounded sample. A
-query is compared with the lists whose centroids are nearest. There, vectors and query are rotated by
+query is compared with the lists whose centroids are nearest: with the nearest first, whose k-th distance
+is the bar that candidates of the others must beat. In a list, vectors and query are rotated by
 one random orthogonal matrix and stored by blocks of columns; after each block a candidate is dropped
-if its partial distance, scaled up to all dimensions, exceeds the query's best known tenth distance by
-more than a hypothesis test allows. Survivors are measured exactly on the original vectors.
+if its partial distance, scaled up to all dimensions, exceeds the bar by more than a hypothesis test allows.
+Survivors are measured exactly on the original vectors.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from ._common import cut
 
 SAMPLE = 20_000
 MOST_LISTS = 1_024
-PROBED = 0.65
+PROBED = 0.55
 BLOCK = 16
 EPSILON = 2.1
 CHUNK = 4_096
@@ -44,24 +45,25 @@ def _centroids(x: np.ndarray, lists: int, rng: np.random.Generator, rounds: int
     return c
 
 
-def scan(rows: np.ndarray, turned: np.ndarray, ids: np.ndarray, query: np.ndarray, q_turned: np.ndarray, own: int, k: int, epsilon: float, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of *rows* to *query*: (ids, distances), by the adaptive scan over *turned* columns."""
-    at, exact = _scan(rows, turned, ids, query, q_turned, own, k, epsilon, block)
+def scan(rows: np.ndarray, turned: np.ndarray, ids: np.ndarray, query: np.ndarray, q_turned: np.ndarray, own: int, k: int, epsilon: float, block: int, bar: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of *rows* to *query*, no farther than *bar*: (ids, distances), by the adaptive scan over *turned* columns."""
+    at, exact = _scan(rows, turned, ids, query, q_turned, own, k, epsilon, block, bar)
     return ids[at], exact
 
 
-def _scan(rows: np.ndarray, turned: np.ndarray, ids: np.ndarray, query: np.ndarray, q_turned: np.ndarray, own: int, k: int, epsilon: float, block: int) -> tuple[np.ndarray, np.ndarray]:
+def _scan(rows: np.ndarray, turned: np.ndarray, ids: np.ndarray, query: np.ndarray, q_turned: np.ndarray, own: int, k: int, epsilon: float, block: int, bar: float) -> tuple[np.ndarray, np.ndarray]:
     dims = turned.shape[1]
     alive = np.flatnonzero(ids != own)
     if len(alive) == 0:
         return alive, np.zeros(0)
-    part, bar, done = np.zeros(len(alive)), np.inf, 0
-    while done < dims and len(alive) > k:
+    part, most, done = np.zeros(len(alive)), bar * (1 + 1e-9), 0
+    bar = bar * bar  # distances are compared squared
+    while done < dims and (len(alive) > k or bar < np.inf and len(alive)):
         step = slice(done, min(dims, done + block))
         diff = turned[alive, step] - q_turned[step]
         part += np.einsum("ij,ij->i", diff, diff)
         done = step.stop
-        if bar == np.inf:  # the k closest by the first columns give a distance to beat
+        if bar == np.inf and len(alive) > k:  # the k closest by the first columns give a distance to beat
             lead = alive[np.argpartition(part, k - 1)[:k]]
             diff = turned[lead] - q_turned
             bar = np.einsum("ij,ij->i", diff, diff).max()
@@ -70,6 +72,7 @@ def _scan(rows: np.ndarray, turned: np.ndarray, ids: np.ndarray, query: np.ndarr
     diff = rows[alive] - query
     exact = np.sqrt((diff * diff).sum(axis=1))
     order = np.lexsort((ids[alive], exact))[:k]
+    order = order[exact[order] <= most]
     return alive[order], exact[order]
 
 
@@ -109,7 +112,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SA
             for b in batches:
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
                 close = x @ c.T - half
-                near = np.argpartition(-close, n - 1, axis=1)[:, :n] if n < lists else np.tile(np.arange(lists), (len(x), 1))
+                near = np.argsort(-close, axis=1, kind="stable")[:, :n]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.tolist(), pa.list_(pa.int32()))], ["vec_id", "v", "near"])
 
         return nearest
@@ -117,15 +120,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SA
     placed = "vec_id long, v array<double>, near array<int>"
     stored = cut(every.mapInArrow(to_lists(1), placed).select("vec_id", "v", F.element_at("near", 1).alias("list")).unionAll(others))
     sizes = {r.list: r["count"] for r in stored.groupBy("list").count().collect()}  # at most MOST_LISTS and a row for each other length
-    asked = cut(usable(queries).distinct())
-    odd = asked.where(F.size("v") != dims).select("vec_id", "v", (-F.size("v")).alias("list"))
-    asked = asked.where(F.size("v") == dims).mapInArrow(to_lists(probes), placed)
-    asked = cut(asked.select("vec_id", "v", F.explode("near").alias("list")).unionAll(odd))
-    wanted = {r.list: r["count"] for r in asked.groupBy("list").count().collect()}
+    asked = usable(queries).distinct()
+    odd = asked.where(F.size("v") != dims).select("vec_id", "v", F.array(-F.size("v")).alias("near"))
+    asked = cut(asked.where(F.size("v") == dims).mapInArrow(to_lists(probes), placed).unionAll(odd))
     cuts = F.create_map(*[x for k_, n in sizes.items() for x in (F.lit(k_), F.lit(-(-n // CHUNK)))])
-    q_cuts = F.create_map(*[x for k_ in sizes for x in (F.lit(k_), F.lit(max(1, -(-wanted.get(k_, 0) // QUERY_CHUNK))))])
-    right = stored.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), cuts[F.col("list")]).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), (q_cuts[F.col("list")] - 1).cast("int"))))
-    left = asked.where(F.col("list").isin(list(sizes))).withColumn("part", F.pmod(F.xxhash64("vec_id"), q_cuts[F.col("list")]).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), (cuts[F.col("list")] - 1).cast("int"))))
 
     def scanned(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -134,15 +132,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = SA
             turn = shared.value[1] if rows.shape[1] == dims else np.eye(rows.shape[1])
             turned, asks = rows @ turn, np.stack(q["v"].to_numpy())
             nearest: dict[int, dict[int, float]] = {}
-            for one, x, y in zip(q["vec_id"].tolist(), asks, asks @ turn):
+            for one, bar, x, y in zip(q["vec_id"].tolist(), q["bar"].tolist(), asks, asks @ turn):
                 best = nearest.setdefault(one, {})
-                for at, score in zip(*(z.tolist() for z in _scan(rows, turned, ids, x, y, one, k, epsilon, BLOCK))):
+                for at, score in zip(*(z.tolist() for z in _scan(rows, turned, ids, x, y, one, k, epsilon, BLOCK, bar))):
                     best[at] = min(score, best.get(at, np.inf))
             for one, best in nearest.items():
                 found += [(one, int(ids[at]), score) for at, score in sorted(best.items(), key=lambda z: (z[1], ids[z[0]]))[:k]]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    keys = ["list", "chunk", "part"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scanned, "query_id long, vec_id long, score double")
+    def compared(probes: DataFrame) -> DataFrame:
+        """query_id, vec_id, score of the k nearest in each chunk of the lists of *probes* (vec_id, v, bar, list)."""
+        wanted = {r.list: r["count"] for r in probes.groupBy("list").count().collect()}
+        q_cuts = F.create_map(*[x for k_ in sizes for x in (F.lit(k_), F.lit(max(1, -(-wanted.get(k_, 0) // QUERY_CHUNK))))])
+        right = stored.where(F.col("list").isin([x for x in sizes if x in wanted])).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), cuts[F.col("list")]).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), (q_cuts[F.col("list")] - 1).cast("int"))))
+        left = probes.where(F.col("list").isin(list(sizes))).withColumn("part", F.pmod(F.xxhash64("vec_id"), q_cuts[F.col("list")]).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), (cuts[F.col("list")] - 1).cast("int"))))
+        keys = ["list", "chunk", "part"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scanned, "query_id long, vec_id long, score double")
+
+    infinite = F.lit(float("inf"))
+    first = cut(compared(asked.select("vec_id", "v", infinite.alias("bar"), F.element_at("near", 1).alias("list"))))
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    bars = ranked.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bar"))
+    further = asked.join(bars, "vec_id", "left").select("vec_id", "v", F.coalesce("bar", infinite).alias("bar"), F.explode(F.slice("near", 2, probes)).alias("list"))
+    best = first.unionAll(compared(cut(further)))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -24,8 +24,8 @@ _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden|itemprop)
 
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select option xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea title iframe svg annotation annotation-xml canvas object select option xmp noembed noframes".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup mover munder munderover mspace mstyle semantics".split())
 OUTSIDE = frozenset("nav footer aside form button dialog menu head fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 P_CLOSERS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -36,6 +36,7 @@ NOT_CONTENT = re.compile(
     r"author-?bio|outbrain|taboola)(?:$|[\s_-])",
     re.I,
 )
+_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment\w*|repl(?:y|ies)|respon(?:d|se)\w*|discussion|disqus\w*)(?:$|[\s_-])", re.I)
 _PUNCT = re.compile(r"[.,;:!?…。、，！？；：]")
 _SPACE = re.compile(r"[ \t\n\r\f\v   -     　\x1c-\x1f\x85]+")
 _LONG_NUMBER = re.compile(r"&#0*+[0-9]{8,}+;?")
@@ -71,9 +72,10 @@ def _bars(tag: str, attrs: dict, inside: bool) -> bool:
 
 def _named(tag: str, attrs: dict) -> bool:
     """Whether an element's class or id sounds as if it were set apart."""
-    if tag in ("html", "body", "main", "article"):
+    if tag in ("html", "body", "main"):
         return False
-    return any(NOT_CONTENT.search(f"{attrs.get(k, '')}") for k in ("class", "id"))
+    words = _COMMENTS if tag == "article" else NOT_CONTENT
+    return any(words.search(f"{attrs.get(k, '')}") for k in ("class", "id"))
 
 
 def blocks(html: str) -> tuple[list[_Block], list[int]]:
@@ -82,7 +84,7 @@ def blocks(html: str) -> tuple[list[_Block], list[int]]:
     A block's *named* is the innermost such element around it.
     """
     out, stack, at = [], [], 0  # stack: (tag, path of block elements down to it, barred, block-level, depth of that path, named)
-    current, open_tags, open_barred = None, Counter(), 0
+    current, open_tags, open_barred, open_main = None, Counter(), 0, 0  # open_main: article and main elements that aren't named
     around, open_named = [], []
 
     def say(raw: str) -> None:
@@ -92,7 +94,7 @@ def blocks(html: str) -> tuple[list[_Block], list[int]]:
         if current is None:
             if not raw.strip():
                 return
-            current = _Block(stack[-1][1] if stack else "", open_barred > 0, open_named[-1] if open_named else -1, open_tags["article"] + open_tags["main"] > 0)
+            current = _Block(stack[-1][1] if stack else "", open_barred > 0, open_named[-1] if open_named else -1, open_main > 0)
             out.append(current)
         text = _decoded(raw)
         current.parts.append(text)
@@ -100,10 +102,11 @@ def blocks(html: str) -> tuple[list[_Block], list[int]]:
             current.linked += len(text.strip())
 
     def pop_to(k: int) -> None:
-        nonlocal current, open_barred
+        nonlocal current, open_barred, open_main
         for s in stack[k:]:
             open_tags[s[0]] -= 1
             open_barred -= s[2]
+            open_main -= s[0] in ("article", "main") and not s[5]
             if s[5]:
                 open_named.pop()
             if s[3] or s[2] or s[5]:
@@ -165,7 +168,7 @@ def blocks(html: str) -> tuple[list[_Block], list[int]]:
                 if stack[k][0] in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "menu"):
                     break
         attrs = _attributes(m["attrs"]) if m["attrs"].strip(" /") else {}
-        inside = open_tags["article"] + open_tags["main"] > 0
+        inside = open_main > 0
         block = tag not in INLINE
         barred = _bars(tag, attrs, inside) if block or attrs else False
         named = not barred and _named(tag, attrs)
@@ -182,6 +185,7 @@ def blocks(html: str) -> tuple[list[_Block], list[int]]:
                 open_named.append(len(around) - 1)
             open_tags[tag] += 1
             open_barred += barred
+            open_main += tag in ("article", "main") and not named
     return out, around
 
 
@@ -279,7 +283,10 @@ def _belongs(b: _Block, text: str, root: tuple[str, ...]) -> bool:
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """page_id, url, text of each row of *pages* (page_id, url, html); a null html gives an empty text."""
+    """page_id, url, text of each row of *pages* (page_id, url, html); a null html gives an empty text.
+
+    Repeated rows are read each, other columns are ignored, an empty table gives an empty one.
+    """
 
     def texts(batches):
         import pyarrow as pa

@@ -20,6 +20,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 BLOCK_WORDS = 4_096
+#: The draw's limit is 10**9 blocks in all: a block holds more words where a mix would have more than these.
+MOST_BLOCKS = 1 << 29
 SHARD_BLOCKS = 512
 SLICE_DOCS = 4_096
 SEED = 20_240_607
@@ -113,11 +115,12 @@ def mix(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS, shard
     """The pieces of the mix of *docs* (doc_id, text, source).
 
     doc_id, source, size, source_size, target, copy (of repeated rows), lap (0 or 1), from_word, words,
-    shard, position in the shard. A document that the mix leaves out has one row with words 0 and no
+    shard, position in the shard. Blocks have *block_words* words, or more where there would be over MOST_BLOCKS. A document that the mix leaves out has one row with words 0 and no
     shard. Null texts have size 0; null sources form a source; an empty table gives an empty one.
     Nothing depends on partitions, so reruns agree.
     """
     units, sources = on_line(docs, seed)
+    block_words = max(block_words, -(-int(sources.agg(F.sum(F.floor("target"))).first()[0] or 0) // MOST_BLOCKS))
     quotas = sources.select("sid", F.ceil(F.floor("target") / block_words).alias("blocks"))
     rank_of = quotas.select("sid", "blocks", F.coalesce(*[F.when(F.col("blocks") % p != 0, F.lit(p)) for p in _PRIMES], F.lit(1)).alias("prime"))
     ranges = split_tree(quotas, shard_blocks, seed)

@@ -1,10 +1,11 @@
 """Personal data by fixed forms and by bootstrapped contextual extraction.
 
 Seeds are the spans that match the four fixed forms. Every identifier-like string, seed or not,
-gives lexical patterns from its neighbours: the word before, the two words before, the word after.
+gives lexical patterns from its neighbours: the word before, the two words before, the first of these with
+any word between, the word after, each within REACH code points.
 Patterns and instances form a bipartite graph, each edge counted once however many copies hold it.
-In each round a pattern's confidence for a kind is the part of its distinct instances believed to be
-of that kind, and an unseen instance is believed as far as its best trusted pattern. Unseen
+In each round a pattern's confidence for a kind weighs its distinct instances believed to be of that kind
+against seeds of other kinds and, for a part, against instances of which nothing is known; an unseen instance is believed as far as its best trusted pattern. Unseen
 instances that stand in a high-confidence pattern, and whose form suits the kind, are added.
 """
 
@@ -21,6 +22,8 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 LEAST_SEEDS = 3.0
 CONFIDENCE = 0.75
+#: What an instance that nothing is known of counts against a pattern.
+DOUBT = 0.25
 
 # The forms of the four kinds.
 FORMS = {
@@ -44,7 +47,7 @@ _LIKE = re.compile(
 _WORD = re.compile(r"[^\s|]+")
 _EDGE = re.compile(r"^[\W_]++|(?<![\W_])[\W_]++$")
 #: How far from a span its neighbours are looked for, in code points.
-_REACH = 80
+REACH = 80
 
 
 def _luhn(digits: str) -> bool:
@@ -102,12 +105,12 @@ def suits(instance: str) -> list[str]:
 
 
 def _patterns(text: str, start: int, end: int) -> list[str]:
-    lead, tail = text[max(0, start - _REACH) : start], text[end : end + _REACH]
+    lead, tail = text[max(0, start - REACH) : start], text[end : end + REACH]
     words = [w for w in (_EDGE.sub("", w).lower() for w in _WORD.findall(lead)) if w][-2:]
     after = next((w for w in (_EDGE.sub("", w).lower() for w in _WORD.findall(tail)) if w), "")
     out = [f"{words[-1]} _"] if words and not _DIGIT.search(words[-1]) else []
     if len(words) == 2 and out and not _DIGIT.search(words[0]):
-        out.append(f"{words[0]} {words[1]} _")
+        out += [f"{words[0]} {words[1]} _", f"{words[0]} * _"]
     if after and not _DIGIT.search(after):
         out.append(f"_ {after}")
     return out
@@ -133,44 +136,51 @@ _SPAN = "array<struct<start:long,end:long,kind:string>>"
 _SEEN = "array<struct<start:long,end:long,kinds:array<string>,seed:boolean,instance:string,patterns:array<string>>>"
 
 
-def _extracted(docs: DataFrame) -> DataFrame:
-    """All columns of *docs*, with _row, _base and _seen."""
+def _extracted(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """doc (a struct of *keep*), row, base and seen for each row of *docs*; written once."""
     from pyspark.sql.types import StructType
 
-    added = StructType.fromDDL(f"_base {_SPAN}, _seen {_SEEN}")
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc")).schema
+    out = StructType([*kept.fields, *StructType.fromDDL(f"row long, base {_SPAN}, seen {_SEEN}").fields])
 
     def extract(batches):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        kinds = to_arrow_schema(added)
+        kinds = to_arrow_schema(out)
         for b in batches:
-            base, seen = [], []
-            for t in b.column(b.schema.get_field_index("text")):
+            doc, base, seen = b.column(0), [], []
+            for t in doc.field("text"):
                 text = t.as_py() or ""
                 spans = base_spans(text)
                 base.append([{"start": x, "end": y, "kind": k} for x, y, k in spans])
                 seen.append(instances(text, spans))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base, kinds.field(0).type), pa.array(seen, kinds.field(1).type)], [*b.schema.names, "_base", "_seen"])
+            part = pa.StructArray.from_arrays([doc.field(c) for c in keep], keep)
+            yield pa.RecordBatch.from_arrays([part, b.column(1), pa.array(base, kinds.field(2).type), pa.array(seen, kinds.field(3).type)], kinds.names)
 
-    return cut(rows.mapInArrow(extract, StructType([*rows.schema.fields, *added.fields])))
+    return cut(rows.select(F.struct(*[F.col(f"doc.`{c}`") for c in dict.fromkeys([*keep, "text"])]).alias("doc"), "row").mapInArrow(extract, out))
 
 
-def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, least_seeds: float = LEAST_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
+def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, least_seeds: float = LEAST_SEEDS, confidence: float = CONFIDENCE, doubt: float = DOUBT) -> DataFrame:
     """pattern, kind, trust for patterns that hold enough believed instances and are trusted enough.
 
-    *seen*: kinds, seed, instance, patterns. A pattern's trust for a kind is F / (N + 1), where N
-    counts its distinct instances of any kind and F sums their beliefs for this one. F must reach
-    *least_seeds* in the round itself, so instances found in one round support patterns of the next.
+    *seen*: kinds, seed, instance, patterns. A pattern's trust for a kind is F / (F + C + doubt x U + 1): F sums
+    its distinct instances' beliefs for this kind, C counts seeds of other kinds, U what is left of its
+    instances, of which nobody knows. F must reach *least_seeds* in the round itself, so instances found in
+    one round support patterns of the next.
     """
     edges = seen.select("seed", "instance", "kinds", F.explode("patterns").alias("pattern")).distinct()
-    n = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("n"))
+    n = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("n"), F.count_distinct(F.when(F.col("seed"), F.col("instance"))).alias("seeds"))
     n = n.where(F.col("n") >= least_seeds)  # F is at most N; which instances are believed is found round by round
-    edges = cut(edges.join(n, "pattern").select("pattern", "n", "instance", "seed", F.explode("kinds").alias("kind")))
+    edges = cut(edges.join(n, "pattern").select("pattern", "n", "seeds", "instance", "seed", F.explode("kinds").alias("kind")))
     belief = edges.where("seed").select("instance", "kind", F.lit(1.0).alias("belief")).distinct()
     for left in range(rounds, -1, -1):
-        trust = edges.join(belief, ["instance", "kind"]).groupBy("pattern", "kind").agg((F.sum("belief") / (F.first("n") + 1)).alias("trust"), F.sum("belief").alias("f"))
+        held = edges.join(belief, ["instance", "kind"]).groupBy("pattern", "kind")
+        held = held.agg(F.sum("belief").alias("f"), F.sum(F.col("seed").cast("int")).alias("own"), F.first("n").alias("n"), F.first("seeds").alias("seeds"))
+        others = F.greatest(F.col("seeds") - F.col("own"), F.lit(0))
+        unknown = F.greatest(F.col("n") - F.col("f") - others, F.lit(0.0))
+        trust = held.select("pattern", "kind", "f", (F.col("f") / (F.col("f") + others + doubt * unknown + 1)).alias("trust"))
         trust = cut(trust.where((F.col("f") >= least_seeds) & (F.col("trust") >= confidence)).drop("f"))
         if left:
             better = edges.where("not seed").join(trust, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("trust").alias("belief"))
@@ -179,19 +189,20 @@ def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, least_seeds: float =
     return trust
 
 
-def find(docs: DataFrame, rounds: int = ROUNDS, least_seeds: float = LEAST_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
-    """All columns of *docs* with _base and _found: sorted spans (start, end, kind) in code points.
+def find(docs: DataFrame, keep: list[str] | None = None, rounds: int = ROUNDS, least_seeds: float = LEAST_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
+    """doc (a struct of the columns *keep*, else of all), base and found for each row of *docs*.
 
-    A null text holds nothing. Repeated rows each keep their spans; copies don't add support to a
-    pattern. Every text is searched whole.
+    base and found are sorted spans (start, end, kind) in code points. A null text holds nothing. Repeated
+    rows each keep their spans; copies don't add support to a pattern. Every text is searched whole. An
+    empty table gives an empty one; the columns of *docs* may have any names beside text.
     """
-    rows = _extracted(docs)
-    trust = trusted_patterns(rows.select(F.explode("_seen").alias("x")).select("x.seed", "x.instance", "x.kinds", "x.patterns"), rounds, least_seeds, confidence)
-    open_ = rows.select("_row", F.explode("_seen").alias("x")).where("not x.seed").select("_row", "x.start", "x.end", "x.kinds", F.explode("x.patterns").alias("pattern"))
+    rows = _extracted(docs, docs.columns if keep is None else keep)
+    trust = trusted_patterns(rows.select(F.explode("seen").alias("x")).select("x.seed", "x.instance", "x.kinds", "x.patterns"), rounds, least_seeds, confidence)
+    open_ = rows.select("row", F.explode("seen").alias("x")).where("not x.seed").select("row", "x.start", "x.end", "x.kinds", F.explode("x.patterns").alias("pattern"))
     hits = open_.join(trust, "pattern").where(F.array_contains("kinds", F.col("kind")))
-    best = hits.groupBy("_row", "start", "end").agg(F.max_by("kind", F.struct("trust", "kind")).alias("kind"))
-    found = best.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_found"))
-    return rows.drop("_seen").join(found, "_row", "left").drop("_row").withColumn("_found", F.coalesce("_found", F.array().cast(_SPAN)))
+    best = hits.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("trust", "kind")).alias("kind"))
+    found = best.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("found"))
+    return rows.drop("seen").join(found, "row", "left").select("doc", "base", F.coalesce("found", F.array().cast(_SPAN)).alias("found"))
 
 
 def spans_text(spans) -> "F.Column":
@@ -202,23 +213,25 @@ def spans_text(spans) -> "F.Column":
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """The rows of *docs* with every span replaced by its kind in brackets; overlapping spans become one."""
-    found = find(docs).withColumn("_all", F.concat("_base", "_found")).drop("_base", "_found")
-    schema = found.drop("_all").schema
+    """The rows of *docs* with every span replaced by its kind in brackets; overlapping spans become one.
+
+    A null text stays null; all other columns, repeated rows and an empty table stay as they are.
+    """
+    found = find(docs).select("doc", F.concat("base", "found").alias("spans"))
+    names = docs.columns
 
     def replace(batches):
         import pyarrow as pa
 
         for b in batches:
-            at, texts = b.schema.get_field_index("text"), []
-            for t, spans in zip(b.column(at), b.column(b.schema.get_field_index("_all"))):
+            doc, texts = b.column(0), []
+            for t, spans in zip(doc.field("text"), b.column(1)):
                 text, end, out = t.as_py(), 0, []
                 for s in sorted(spans.as_py(), key=lambda s: (s["start"], -s["end"])):
                     if s["start"] >= end:
                         out += [text[end : s["start"]], f"[{s['kind'].upper()}]"]
                     end = max(end, s["end"])
                 texts.append("".join([*out, text[end:]]) if out else text)
-            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays([c for c, n in zip(columns, b.schema.names) if n != "_all"], [n for n in b.schema.names if n != "_all"])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else doc.field(c) for c in names], names)
 
-    return found.mapInArrow(replace, schema)
+    return found.mapInArrow(replace, docs.schema)

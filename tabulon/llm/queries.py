@@ -23,10 +23,10 @@ def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    n = [F.size(F.array_remove(F.transform("_base", lambda s: s["kind"] == F.lit(k)), False)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    every = pii.spans_text(F.concat("_base", "_found"))
-    return found.select("doc_id", *n, F.sha2(pii.spans_text(F.col("_base")), 256).alias("base_sha256"), every.alias("spans"), F.size("_found").cast("long").alias("n_added"))
+    found = pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    n = [F.size(F.array_remove(F.transform("base", lambda s: s["kind"] == F.lit(k)), False)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    every = pii.spans_text(F.concat("base", "found"))
+    return found.select("doc.doc_id", *n, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"), every.alias("spans"), F.size("found").cast("long").alias("n_added"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,25 +36,21 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels))
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    held_out = F.coalesce(F.crc32(F.col("doc.doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return scored.select("doc.doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of each pair's prompt and completions as rendered, with the mask of its trained span."""
     segments = chat.formatted(chat.worsened(table(spark, sf_dir, "conversations")))
-    part, size = F.col("part"), F.char_length("rendered")
-    chars = [F.coalesce(F.sum(F.when(part == p, size)), F.lit(0)).cast("long").alias(f"{p}_chars") for p in ("prompt", "chosen", "rejected")]
-    trained = [F.coalesce(F.sum(F.when(F.col("train") & (part == p), F.col("train_to") - F.col("train_from"))), F.lit(0)).cast("long").alias(f"{p}_trained") for p in ("chosen", "rejected")]
-    turns = F.sum((part == "prompt").cast("long")).alias("prompt_turns")
-    first = F.conv(F.substring(F.md5(F.concat_ws(":", part, F.col("turn").cast("string"), "rendered").cast("binary")), 1, 8), 16, 10)
-    digest = F.sum(first.cast("long")).alias("rendered_md5_sum")
-    return segments.groupBy(F.col("pair_id").alias("conv_id")).agg(turns, *chars, *trained, digest)
+    return segments.select(F.col("pair_id").alias("conv_id"), "part", "turn", "rendered", "train", "train_from", "train_to")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = mixing.mix(table(spark, sf_dir, "documents"))
-    whole = pieces.groupBy("doc_id", "source", "copy", "size", "source_size", "target").agg(F.sum("words").cast("long").alias("taken"), F.count("shard").alias("n_pieces"))
-    return whole.select("doc_id", "size", "source_size", "target", "taken", "n_pieces")
+    first = F.min_by(F.struct("shard", "position"), F.struct("lap", "from_word"))  # where the tree and the shuffle put its first piece
+    whole = pieces.groupBy("doc_id", "source", "copy", "size", "source_size", "target").agg(F.sum("words").cast("long").alias("taken"), F.count("shard").alias("n_pieces"), first.alias("at"))
+    return whole.select("doc_id", "size", "source_size", "target", "taken", "n_pieces", F.col("at.shard").alias("shard"), F.col("at.position").alias("position"))
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +79,7 @@ OP7_SQL = """
 WITH last AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
 bad AS (
   SELECT c.conv_id, c.turn, c.role,
-         CASE WHEN c.turn = l.last THEN array_to_string(list_reverse(string_split(c.text, ' ')), ' ') ELSE c.text END AS text
+         CASE WHEN c.turn = l.last AND c.role = 'assistant' THEN array_to_string(list_reverse(string_split(c.text, ' ')), ' ') ELSE c.text END AS text
   FROM conversations c LEFT JOIN last l USING (conv_id)),
 differs AS (
   SELECT c.conv_id, min(c.turn) AS first FROM conversations c JOIN bad b USING (conv_id, turn)
@@ -95,19 +91,13 @@ parts AS (
   UNION ALL
   SELECT b.conv_id, b.turn, b.role, b.text, 'rejected' FROM bad b JOIN differs d USING (conv_id) WHERE b.turn >= d.first),
 segments AS (
-  SELECT conv_id, turn, part, role,
-         '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS rendered,
-         length(coalesce(text, '')) + 8 AS trained
+  SELECT conv_id, part, turn, '<|' || coalesce(role, '') || '|>' || chr(10) AS head,
+         coalesce(text, '') || '<|end|>' || chr(10) AS body, part <> 'prompt' AND coalesce(role = 'assistant', false) AS train
   FROM parts)
-SELECT conv_id,
-       CAST(count(*) FILTER (part = 'prompt') AS BIGINT) AS prompt_turns,
-       CAST(coalesce(sum(length(rendered)) FILTER (part = 'prompt'), 0) AS BIGINT) AS prompt_chars,
-       CAST(coalesce(sum(length(rendered)) FILTER (part = 'chosen'), 0) AS BIGINT) AS chosen_chars,
-       CAST(coalesce(sum(length(rendered)) FILTER (part = 'rejected'), 0) AS BIGINT) AS rejected_chars,
-       CAST(coalesce(sum(trained) FILTER (part = 'chosen' AND role = 'assistant'), 0) AS BIGINT) AS chosen_trained,
-       CAST(coalesce(sum(trained) FILTER (part = 'rejected' AND role = 'assistant'), 0) AS BIGINT) AS rejected_trained,
-       CAST(sum(CAST('0x' || substr(md5(part || ':' || turn || ':' || rendered), 1, 8) AS BIGINT)) AS BIGINT) AS rendered_md5_sum
-FROM segments GROUP BY conv_id
+SELECT conv_id, part, turn, head || body AS rendered, train,
+       CASE WHEN train THEN CAST(length(head) AS BIGINT) END AS train_from,
+       CASE WHEN train THEN CAST(length(head || body) AS BIGINT) END AS train_to
+FROM segments
 """
 
 #: The other operators (tokenisation, hashing, fitted models, seeded draws) have no SQL form; the tests

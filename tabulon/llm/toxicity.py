@@ -54,6 +54,11 @@ def units_of(text: str | None) -> set[str]:
     return {*low.split(), *(m[0] for m in _SINGLES.finditer(low))} if low else set()
 
 
+def pieces_of(unit: str) -> list[str]:
+    """What is learnt of a unit: itself, or pieces that overlap by half where it is longer than a window."""
+    return [unit] if len(unit) <= WINDOW else [unit[at : at + WINDOW] for at in range(0, len(unit) - WINDOW // 2, WINDOW // 2)]
+
+
 def windows_of(units: list[str]) -> tuple[np.ndarray, list[str]]:
     """(unit number, window) for the windows of each unit."""
     windows, owner = [], []
@@ -181,7 +186,7 @@ def train_svm(units: list[str], y: np.ndarray, weight: np.ndarray, landmarks: li
 
 
 def _whole(units: list[str]):
-    """The features of each unit's first window; units to train on are words of ordinary length."""
+    """The features of each unit's window; units to train on are no longer than one."""
     owner, windows = windows_of(units)
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     return owner[first], *features([windows[k] for k in first])
@@ -197,6 +202,8 @@ def _learnable(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_units: int = MAX_UNITS, landmarks: int = LANDMARKS) -> Model:
     """Fit on at most about *max_docs* labelled documents (by hash of the id) and *max_units* units a class.
 
+    *landmarks* units span the Nystroem space. Without toxic or without clean labels the score is the prior.
+
     Statistics of units are Spark aggregations over the sample; the driver gets bounded lists of units.
     A unit is labelled toxic if its share among toxic documents is significantly high; units of clean
     documents are labelled clean, and those that a first model mistakes are added. Texts that no toxic
@@ -214,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_units:
 
     def distinct_units(frames):
         for pdf in frames:
-            pairs = [(u, y) for t, y in zip(pdf["text"], pdf["toxic"]) for u in units_of(t) if len(u) <= WINDOW + 8]
+            pairs = [(u, y) for t, y in zip(pdf["text"], pdf["toxic"]) for u in {v for w in units_of(t) for v in pieces_of(w)}]
             yield pd.DataFrame(pairs, columns=["unit", "toxic"])
 
     units = sample.select("text", "toxic").mapInPandas(distinct_units, "unit string, toxic int")
@@ -246,12 +253,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_units:
 
     for _ in range(2):
         model = fitted()
-        best = _tops(sample, model).cache()
+        best = _tops(sample, model)
         hard = best.where("toxic = 0").select(F.explode("tops").alias("t")).where("t.margin > -0.7").groupBy("t.unit").agg(F.count(F.lit(1)).alias("n"))
         for r in hard.orderBy(F.desc("n"), "unit").limit(max_units // 4).collect():
-            if r.unit not in pos:
-                neg[r.unit] = neg.get(r.unit, 1.0) + 2.0
-        best.unpersist()
+            for v in pieces_of(r.unit):
+                if v not in pos:
+                    neg[v] = neg.get(v, 1.0) + 2.0
     model = fitted()
     rows = _tops(sample, model).select("part", "toxic", *[F.coalesce(F.get("tops", F.lit(k))["margin"], F.lit(FLOOR)).alias(f"m{k}") for k in range(2)]).toPandas()
     held = rows[rows["part"] == 3]
@@ -285,21 +292,26 @@ def _tops(rows: DataFrame, model: Model, n: int = 2) -> DataFrame:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of *docs* and toxicity: 0 to 1. A text without units scores as one far from any insult."""
+    """doc (a struct of all columns of *docs*, whatever their names) and toxicity, 0 to 1, for each row.
+
+    A null or empty text, or one without units, scores as one far from any insult; repeated rows score
+    alike; an empty table gives an empty one. Every text is read whole.
+    """
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
 
     def scored(batches):
         import pyarrow as pa
 
         for b in batches:
-            texts, first, second = b.column(b.schema.get_field_index("text")).to_pylist(), [], []
+            texts, first, second = b.column(0).field("text").to_pylist(), [], []
             for k in range(0, len(texts), 256):
                 for g in top_units(texts[k : k + 256], shared.value):
                     first.append(g[0][0] if g else FLOOR)
                     second.append(g[1][0] if len(g) > 1 else FLOOR)
             values = shared.value.score(np.array(first, dtype=float), np.array(second, dtype=float))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.float64())], [*b.schema.names, "_toxicity"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.float64())], ["doc", "toxicity"])
 
-    return docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField("_toxicity", DoubleType())]))
+    return rows.mapInArrow(scored, StructType([*rows.schema.fields, StructField("toxicity", DoubleType())]))

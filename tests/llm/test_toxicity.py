@@ -59,7 +59,7 @@ def test_gapped_insults_score_like_plain_ones(spark):
     model = toxicity.fit(docs, labels)
     texts = ["m o r o n and", "you mo.ron", "an idxiot here", "l-o-s-e-r", "fine sea", "", None, "the weather"]
     tests = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r._toxicity for r in toxicity.score(tests, model).collect()}
+    got = {r.doc.doc_id: r.toxicity for r in toxicity.score(tests, model).collect()}
     assert min(got[i] for i in range(4)) > max(got[i] for i in range(4, 8))
 
 
