@@ -14,7 +14,7 @@ from tabulon.llm._common import shared_folder, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, calls toxic go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+    return toxicity.score(docs, model).where(F.col("toxicity") < toxicity.THRESHOLD).select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
