@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 DEFAULTS = {
     "display.max_rows": 1000,
     "compute.max_rows": 1000,
+    "compute.max_columns": 10_000,
     "compute.shortcut_limit": 1000,
     "compute.ops_on_diff_frames": False,
     "compute.default_index_type": "distributed",

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .config import get_option
 from .functions import scalar as S
 from .functions import strings, temporal
-from .operators.aggregates import NUMERIC, reduce
+from .operators.aggregates import NUMERIC, across, quantiles, reduce
 from .plans import ordered
 
 ROW = "__row__"
@@ -75,6 +75,13 @@ UNSUPPORTED = {
 }
 
 
+def only(**given) -> None:
+    """Raises for a parameter whose value isn't one of those offered: name=(value, *offered)."""
+    for name, (value, *offered) in given.items():
+        if not any(value is x or (type(value) is type(x) and value == x) for x in offered):
+            raise Unsupported(f"{name}={value!r} is not offered")
+
+
 class _Named:
     """Raises for declared names that aren't offered."""
 
@@ -227,6 +234,11 @@ class Frame(_Named):
         if foreign and len(foreign) == len(new) and all(v._frame.df is table for v in foreign.values()):
             first = next(iter(foreign.values()))._frame  # taken before the last assignment: both are columns of that table
             return first._select(made | {k: v.col for k, v in foreign.items()})
+        frame = _windowed(self, list(foreign.values())) if foreign else None
+        if frame is not None:  # windows over the rows of one table: computed together, nothing to join
+            made = made if table is not None and self.df is not frame[0] else {x: F.col(f"`{c}`") for x, c in zip(self._labels, self._cols)}
+            rest = {k: v.col if isinstance(v, (Series)) else v if isinstance(v, Column) else F.lit(v) for k, v in new.items()}
+            return frame[1]._select(made | rest)
         frame, found = _aligned(self, list(foreign.values()), "left") if foreign else (self, [])
         new |= dict(zip(foreign, found))
         cols = {k: v.col if isinstance(v, Series) else v if isinstance(v, Column) else F.lit(v) for k, v in new.items()}
@@ -601,7 +613,8 @@ class Frame(_Named):
     def sort_values(self, by, ascending=True, inplace=False, na_position="last", ignore_index=False):
         by, up = as_list(by), as_list(ascending)
         up = up * len(by) if len(up) == 1 else up
-        return self._into(self._sorted([S.valid(self._series(x).col, self._series(x).kind) for x in by], up, na_position), inplace)
+        out = self._sorted([S.valid(self._series(x).col, self._series(x).kind) for x in by], up, na_position)
+        return self._into(out.reset_index(drop=True) if ignore_index else out, inplace)
 
     def sort_index(self, axis=0, level=None, ascending=True, inplace=False, kind=None, na_position="last"):
         if axis in (1, "columns"):
@@ -631,26 +644,45 @@ class Frame(_Named):
         return self._renumbered(rows)
 
     # ---- aggregates --------------------------------------------------------------------------------
-    def _reduced(self, name: str, numeric_only=None, **options) -> "Series":
-        """One aggregate job; the result has a row for each column."""
+    def _reduced(self, name: str, numeric_only=None, axis=0, **options) -> "Series":
+        """One aggregate job; the result has a row for each column, or with axis=1 one for each row."""
+        if axis in (1, "columns"):
+            kept = self._each(None if name == "count" and not numeric_only else S.numeric)
+            return Series(self, across(name, [(s.col, s.kind) for s in kept], **options), None)
         kept = self._each(S.numeric if name in NUMERIC or numeric_only else None)
+        if name in ("median", "quantile") and not options.get("accuracy") and options.get("skipna", True):
+            got = self._quantiles([options.get("q", 0.5)], kept)
+            return Series.of(pd.Series([v[0] for v in got], index=[s.name for s in kept], dtype=float))
         row = self.df.agg(*[reduce(name, s.col, s.kind, **options).alias(f"c{i}") for i, s in enumerate(kept)]).first() if kept else []
         return Series.of(pd.Series(list(row), index=[s.name for s in kept]))
 
+    def _quantiles(self, qs: list, kept: list["Series"]) -> list[list]:
+        """The exact quantiles of each series."""
+        rows = quantiles(self.df, [], [S.valid(s.col.cast("long") if isinstance(s.kind, T.BooleanType) else s.col, s.kind) for s in kept], qs).collect() if kept else []  # a row for each
+        found = {r.i: r.q for r in rows}
+        return [found.get(i, [None] * len(qs)) for i in range(len(kept))]
+
     def quantile(self, q=0.5, axis=0, numeric_only=True, accuracy=None):
+        only(axis=(axis, 0, "index"), numeric_only=(numeric_only, True))
         if not isinstance(q, (list, tuple)):
             return self._reduced("quantile", q=q, accuracy=accuracy)
         kept = self._each(S.numeric)
-        row = self.df.agg(*[reduce("quantile", s.col, s.kind, q=list(q), accuracy=accuracy).alias(f"c{i}") for i, s in enumerate(kept)]).first()
+        if accuracy is None:
+            row = self._quantiles(list(q), kept)
+        else:
+            row = self.df.agg(*[reduce("quantile", s.col, s.kind, q=list(q), accuracy=accuracy).alias(f"c{i}") for i, s in enumerate(kept)]).first()
         return from_pandas(pd.DataFrame({s.name: v for s, v in zip(kept, row)}, index=list(q)))
 
     def mad(self, axis=0):
+        if axis in (1, "columns"):
+            return self._reduced("mad", axis=1)
         kept = self._each(S.numeric)
         means = self.df.agg(*[reduce("mean", s.col, s.kind) for s in kept]).first()
         row = self.df.agg(*[F.avg(F.abs(s.col - F.lit(m))) for s, m in zip(kept, means)]).first()
         return Series.of(pd.Series(list(row), index=[s.name for s in kept]))
 
     def nunique(self, axis=0, dropna=True, approx=False, rsd=0.05):
+        only(axis=(axis, 0, "index"))
         return self._reduced("nunique", dropna=dropna, approx=approx, rsd=rsd)
 
     def agg(self, func) -> "Frame":
@@ -674,10 +706,10 @@ class Frame(_Named):
         kept, rows = self._each(lambda k: isinstance(k, T.NumericType)), ["count", "mean", "std", "min"]
         if not kept:
             raise ValueError("there is no numeric column to describe")
-        cols = [F.struct(*[reduce(f, s.col, s.kind).cast("double").alias(f) for f in (*rows, "max")], reduce("quantile", s.col, s.kind, q=marks).alias("q")).alias(f"c{i}") for i, s in enumerate(kept)]
-        got = self.df.agg(*cols).first()
+        cols = [F.struct(*[reduce(f, s.col, s.kind).cast("double").alias(f) for f in (*rows, "max")]).alias(f"c{i}") for i, s in enumerate(kept)]
+        got, at = self.df.agg(*cols).first(), self._quantiles(marks, kept)
         names = [*rows, *[f"{100 * q:g}%" for q in marks], "max"]
-        return from_pandas(pd.DataFrame({s.name: [*[r[f] for f in rows], *(r["q"] or [None] * len(marks)), r["max"]] for s, r in zip(kept, got)}, index=names))
+        return from_pandas(pd.DataFrame({s.name: [*[r[f] for f in rows], *q, r["max"]] for s, r, q in zip(kept, got, at)}, index=names))
 
     def corr(self, method="pearson") -> "Frame":
         kept = self._each(S.numeric)
@@ -697,9 +729,11 @@ class Frame(_Named):
         return from_pandas(pd.DataFrame(out, index=self._labels, columns=self._labels))
 
     def idxmax(self, axis=0):
+        only(axis=(axis, 0, "index"))
         return self._extreme(F.max_by, True)
 
     def idxmin(self, axis=0):
+        only(axis=(axis, 0, "index"))
         return self._extreme(F.min_by, False)
 
     def _extreme(self, by, largest):
@@ -728,13 +762,17 @@ class Frame(_Named):
         return self._map(lambda s: s.clip(lower, upper).col if S.numeric(s.kind) else s.col)
 
     def dot(self, other):
-        weights = (other if isinstance(other, pd.Series) else other.to_pandas())[self._labels]
+        if isinstance(other, Series):  # only the values at this table's labels are fetched
+            frame = other.to_frame()
+            other = Series(frame._rows(frame.df.where(F.col(frame._keys[0]).isin(self._labels))), F.col(f"`{frame._cols[0]}`"), other.name).to_pandas()
+        weights = other[self._labels]
         return Series(self, fold(operator.add, [s.col * F.lit(float(w)) for s, w in zip(self._each(), weights)]), None)
 
     __matmul__ = dot
 
     # ---- missing -----------------------------------------------------------------------------------
     def fillna(self, value=None, method=None, axis=None, inplace=False, limit=None):
+        only(axis=(axis, None, 0, "index"), limit=(limit if method is None else None, None))
         if method is not None:
             return self._into({"ffill": self.ffill, "pad": self.ffill, "bfill": self.bfill, "backfill": self.bfill}[method](limit=limit), inplace)
         pick = lambda s: value.get(s.name) if isinstance(value, dict) else value
@@ -751,6 +789,7 @@ class Frame(_Named):
         return self._into(self._rows(self.df.where(there >= least)), inplace)
 
     def replace(self, to_replace=None, value=None, inplace=False, limit=None, regex=False, method="pad"):
+        only(limit=(limit, None), method=(method, "pad"))
         per = isinstance(to_replace, dict) and any(k in self._labels for k in to_replace) and (value is not None or any(isinstance(v, dict) for v in to_replace.values()))
         one = lambda s: s.replace(to_replace[s.name], value, regex=regex) if per and s.name in to_replace else s if per else s.replace(to_replace, value, regex=regex)
         return self._into(self._map(lambda s: one(s).col), inplace)
@@ -775,6 +814,9 @@ class Frame(_Named):
     def append(self, other, ignore_index=False, verify_integrity=False, sort=False) -> "Frame":
         from .api import concat
 
+        only(sort=(sort, False))
+        if verify_integrity and not ignore_index and not self.index.intersection(other.index).empty:
+            raise ValueError("both tables have a row of the same index")
         return concat([self, other], ignore_index=ignore_index)
 
     # ---- windows -----------------------------------------------------------------------------------
@@ -788,6 +830,7 @@ class Frame(_Named):
     def groupby(self, by, axis=0, as_index=True, dropna=True) -> "GroupBy":
         from .groupby import GroupBy
 
+        only(axis=(axis, 0, "index"))
         return GroupBy(self, by, as_index, dropna)
 
     def merge(self, right, how="inner", on=None, left_on=None, right_on=None, left_index=False, right_index=False, suffixes=("_x", "_y")):
@@ -807,6 +850,7 @@ class Frame(_Named):
         return self._rows(self.df.hint(name, *parameters))
 
     def update(self, other, join="left", overwrite=True) -> None:
+        only(join=(join, "left"))
         other = other.to_frame() if isinstance(other, Series) else other
         shared = [x for x in self._labels if x in other._labels]
         frame, found = _aligned(self, [other[x] for x in shared], "left")
@@ -906,7 +950,8 @@ class Frame(_Named):
         return frame_apply(self, func, axis, args, schema, kwds)
 
     def transform(self, func, axis=0, *args, **kwargs) -> "Frame":
-        return self._select({s.name: s.transform(func, *args, **kwargs).col for s in self._each()})
+        only(axis=(axis, 0, "index"))
+        return self._select({s.name: s.transform(func, 0, *args, **kwargs).col for s in self._each()})
 
     # ---- execution ---------------------------------------------------------------------------------
     @property
@@ -1154,6 +1199,23 @@ def _edge(s: "Series", by, largest: bool) -> Column:
     return F.min_by(key, F.when(x.isNotNull(), F.struct((-sign if largest else sign).alias("v"), *order)))
 
 
+def _windowed(frame: Frame, others: list["Series"]):
+    """If *others* are windows over one table that *frame* is, or is made from column by column: (that table, all of them over it)."""
+    from .operators.windows import columns
+
+    remembered = lambda df: df.__dict__.get("_tabulon_windows")
+    table = (frame._s.get("origin") or (None, {}))[0]
+    mine = remembered(frame.df) or (remembered(table) if table is not None else None)
+    source = mine[0] if mine else frame
+    specs = dict(mine[1]) if mine else {}
+    for s in others:
+        theirs = remembered(s._frame.df)
+        if theirs is None or theirs[0].df is not source.df:
+            return None
+        specs |= theirs[1]
+    return source.df, columns(source, specs, keep=mine is None)
+
+
 def _aligned(frame: Frame, others: list["Series"], how: str = "outer"):
     """*frame* joined on the index with other frames' series: the joined frame and the series over it."""
     if not get_option("compute.ops_on_diff_frames"):
@@ -1179,14 +1241,16 @@ from .series import Index, Rolling, Series, _At, _IAt, _ILoc, _Loc  # noqa: E402
 
 
 def _frame_binary(name: str):
-    def method(self, other, axis="columns", level=None, fill_value=None):
+    def method(self, other, fill_value=None):
         if isinstance(other, Frame):
             shared, extra = [x for x in self._labels if x in other._labels], [x for x in self._labels + other._labels if (x in self._labels) != (x in other._labels)]
+            fill = {} if fill_value is None else {"fill_value": fill_value}
             here = other._over(self)
             frame, found = (self, [here[x] for x in shared]) if here is not None else _aligned(self, [other[x] for x in shared])
-            data = {x: getattr(Series(frame, F.col(f"`{frame._where_label(x)}`"), x), name)(s).col for x, s in zip(shared, found)}
+            data = {x: getattr(Series(frame, F.col(f"`{frame._where_label(x)}`"), x), name)(s, **fill).col for x, s in zip(shared, found)}
             return frame._select(data | {x: F.lit(None).cast("double") for x in extra})
-        return self._map(lambda s: getattr(s, name)(other).col)
+        fill = {} if fill_value is None else {"fill_value": fill_value}
+        return self._map(lambda s: getattr(s, name)(other, **fill).col)
 
     method.__name__ = name
     return method
@@ -1194,7 +1258,8 @@ def _frame_binary(name: str):
 
 def _frame_reducer(name: str):
     def method(self, axis=0, numeric_only=None, skipna=True, **options):
-        return self._reduced(name, numeric_only, **options)
+        only(axis=(axis, None, 0, "index", *(() if name in ("any", "all") else (1, "columns"))))
+        return self._reduced(name, numeric_only, axis, **({} if name in ("count", "any", "all") else {"skipna": skipna}), **options)
 
     method.__name__ = name
     return method

@@ -11,12 +11,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frame import Frame, _Named, as_list, from_pandas, key_column, physical
+from .frame import Frame, _Named, as_list, only, from_pandas, key_column, physical
 from .functions import scalar as S
-from .operators.aggregates import NUMERIC, reduce
+from .operators.aggregates import NUMERIC, quantiles, reduce
 from .series import Index, Rolling, Series
 
 NamedAgg = namedtuple("NamedAgg", ["column", "aggfunc"])
+#: A quantile of a column by groups, which _grouped computes apart.
+Quantile = namedtuple("Quantile", ["col", "q"])
+
+
+def _marked(s: Series, q: float) -> Quantile:
+    return Quantile(S.valid(s.col.cast("long") if isinstance(s.kind, T.BooleanType) else s.col, s.kind).cast("double"), q)
 
 
 class GroupBy(_Named):
@@ -61,7 +67,18 @@ class GroupBy(_Named):
         """label -> aggregate, as a frame indexed by the keys."""
         keys = [c.alias(key_column(i)) for i, c in enumerate(self._keys)]
         names = [physical(k) for k in columns]
-        df = self._rows.groupBy(*keys).agg(*[c.alias(n) for n, c in zip(names, columns.values())]) if columns else self._rows.select(*keys).distinct()
+        marks = {n: c for n, c in zip(names, columns.values()) if isinstance(c, Quantile)}
+        plain = [c.alias(n) for n, c in zip(names, columns.values()) if n not in marks]
+        df = self._rows.groupBy(*keys).agg(*plain) if plain else self._rows.select(*keys).distinct()
+        if marks:  # of all groups and values in one go, joined to the other aggregates
+            values = {repr(m.col): m.col for m in marks.values()}
+            qs = sorted({m.q for m in marks.values()})
+            got = quantiles(self._rows, self._keys, list(values.values()), qs)
+            where = {x: i for i, x in enumerate(values)}
+            mine = [F.max(F.when(F.col("i") == where[repr(m.col)], F.get("q", F.lit(qs.index(m.q))))).alias(n) for n, m in marks.items()]
+            got = got.groupBy(*[f"k{i}" for i in range(len(keys))]).agg(*mine)
+            same = fold(operator.and_, [F.col(key_column(i)).eqNullSafe(F.col(f"k{i}")) for i in range(len(keys))])
+            df = df.join(got, same, "left").select(*[key_column(i) for i in range(len(keys))], *[F.col(f"`{n}`") for n in names])
         order = [key_column(i) for i in range(len(keys))]
         out = Frame(_state={"df": df, "keys": order, "names": [b.name for b in self._by_series], "labels": list(columns), "cols": names, "order": order})
         return out if self._as_index else out.reset_index()
@@ -70,7 +87,7 @@ class GroupBy(_Named):
         kept = [s for s in map(self._f._series, self._picked) if name not in NUMERIC or S.numeric(s.kind)]
         if name in ("first", "last"):
             options["order"] = F.struct(*self._f._order)
-        out = self._grouped({s.name: reduce(name, s.col, s.kind, **options) for s in kept})
+        out = self._grouped({s.name: _marked(s, 0.5) if name == "median" and not options.get("accuracy") else reduce(name, s.col, s.kind, **options) for s in kept})
         return out._series(out._labels[-1]) if self._single and self._as_index else out
 
     def agg(self, func=None, **named):
@@ -89,6 +106,8 @@ class GroupBy(_Named):
 
     def _one(self, label, name):
         s = self._f._series(label)
+        if name == "median":
+            return _marked(s, 0.5)
         return reduce(name, s.col, s.kind, **({"order": F.struct(*self._f._order)} if name in ("first", "last") else {}))
 
     def size(self) -> Series:
@@ -102,7 +121,7 @@ class GroupBy(_Named):
             for n in ("count", "mean", "std", "min"):
                 made[(s.name, n)] = reduce(n, s.col, s.kind).cast("double")
             for q in (0.25, 0.5, 0.75):
-                made[(s.name, f"{100 * q:g}%")] = reduce("quantile", s.col, s.kind, q=q)
+                made[(s.name, f"{100 * q:g}%")] = _marked(s, q)
             made[(s.name, "max")] = reduce("max", s.col, s.kind).cast("double")
         return self._grouped(made)
 
@@ -117,15 +136,22 @@ class GroupBy(_Named):
         return out._series(out._labels[-1]) if self._single else out
 
     def idxmax(self, skipna=True):
+        only(skipna=(skipna, True))
         return self._edge(True)
 
     def idxmin(self, skipna=True):
+        only(skipna=(skipna, True))
         return self._edge(False)
 
     def value_counts(self, sort=True, ascending=False, dropna=True) -> Series:
         s = self._f._series(self._picked[0])
         inner = GroupBy(self._f, [*self._by_series, s], True, dropna)
-        return inner.size().rename(s.name)
+        counts = inner.size().rename(s.name)
+        if not sort:
+            return counts
+        f = counts._frame
+        n, order = F.col("size"), [*f._keys[:-1], "__rank__", f._keys[-1]]
+        return Series(f._rows(f.df.withColumn("__rank__", n if ascending else -n))._new(order=order), counts.col, s.name)
 
     def unique(self) -> Series:
         return self._reduced("unique")
@@ -151,7 +177,9 @@ class GroupBy(_Named):
 
     def fillna(self, value=None, method=None, axis=None, inplace=False, limit=None):
         if method is not None:
+            only(axis=(axis, None, 0, "index"), inplace=(inplace, False))
             return self._over("ffill" if method in ("ffill", "pad") else "bfill", limit=limit)
+        only(axis=(axis, None, 0, "index"), inplace=(inplace, False), limit=(limit, None))
         return self._f._rows(self._rows)[self._picked].fillna(value)
 
     def _limited(self, n, first):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
+from functools import reduce as fold
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import fractional, to_bool, valid
+from ..functions.scalar import fractional, missing, to_bool, valid
 
 
 def _number(c: Column, kind: T.DataType) -> Column:
@@ -44,7 +46,7 @@ def std(c, kind, ddof=1):
 
 
 def quantile(c, kind, q=0.5, accuracy=None):
-    """Exact by default; with an accuracy, approximate in bounded memory."""
+    """As one aggregate: with an accuracy, approximate in bounded memory, else exact with all distinct values as its state (see quantiles())."""
     x = _number(c, kind).cast("double")
     return F.percentile_approx(x, q, accuracy) if accuracy else F.percentile(x, q)
 
@@ -99,7 +101,73 @@ REDUCERS: dict[str, Callable[..., Column]] = {
 NUMERIC = frozenset("sum prod product mean var std sem skew kurt kurtosis median quantile".split())
 
 
-def reduce(name: str, c: Column, kind: T.DataType, **options) -> Column:
+#: Reducers that a missing value makes missing where it isn't skipped.
+SKIPPING = NUMERIC | {"min", "max"}
+
+
+def reduce(name: str, c: Column, kind: T.DataType, skipna: bool = True, **options) -> Column:
     if name not in REDUCERS:
         raise ValueError(f"no reducer is named {name!r}")
-    return REDUCERS[name](c, kind, **options)
+    value = REDUCERS[name](c, kind, **options)
+    if skipna or name not in SKIPPING:
+        return value
+    return F.when(~F.coalesce(F.max(missing(c, kind)), F.lit(False)), value)
+
+
+def across(name: str, columns: list[tuple[Column, T.DataType]], skipna: bool = True, ddof: int = 1, min_count: int = 0) -> Column:
+    """The named reducer over the columns of a row."""
+    if name == "count":
+        return fold(operator.add, [(~missing(c, k)).cast("long") for c, k in columns])
+    every = F.array(*[_number(c, k).cast("double") for c, k in columns])
+    x = F.filter(every, lambda v: v.isNotNull())
+    n = F.size(x).cast("double")
+    total = lambda f: F.aggregate(x, F.lit(0.0), lambda s, v: s + f(v))
+    mean = total(lambda v: v) / F.when(n > 0, n)
+    moment = lambda p: total(lambda v: F.pow(v - mean, F.lit(float(p)))) / F.when(n > 0, n)
+    var = moment(2) * n / F.when(n > ddof, n - ddof)
+    line = F.sort_array(x)
+    low, high = F.floor((n - 1) / 2).cast("int"), F.ceil((n - 1) / 2).cast("int")
+    made = {
+        "sum": lambda: F.when(n >= min_count, total(lambda v: v)),
+        "prod": lambda: F.when(n >= min_count, F.aggregate(x, F.lit(1.0), lambda s, v: s * v)),
+        "mean": lambda: mean,
+        "min": lambda: F.array_min(x),
+        "max": lambda: F.array_max(x),
+        "var": lambda: var,
+        "std": lambda: F.sqrt(var),
+        "sem": lambda: F.sqrt(var) / F.sqrt(n),
+        "skew": lambda: moment(3) / F.pow(F.when(moment(2) > 0, moment(2)), F.lit(1.5)),
+        "kurt": lambda: moment(4) / F.pow(F.when(moment(2) > 0, moment(2)), F.lit(2.0)) - 3,
+        "median": lambda: (F.get(line, low) + F.get(line, high)) / 2,
+        "mad": lambda: total(lambda v: F.abs(v - mean)) / F.when(n > 0, n),
+    }
+    name = {"product": "prod", "kurtosis": "kurt"}.get(name, name)
+    if name not in made:
+        raise ValueError(f"{name} isn't offered across columns")
+    return made[name]() if skipna else F.when(n == len(columns), made[name]())
+
+
+def quantiles(df: DataFrame, keys: list[Column], values: list[Column], qs: list[float]) -> DataFrame:
+    """k0, k1, ... (the keys), i (number of the value), q (array of its exact quantiles at *qs*).
+
+    Values are counted first; their running counts in sorted order come from blocks of a range sort, so
+    neither a column nor a hot group has to fit a task. Quantiles are interpolated between two ranks.
+    """
+    from ..plans import ordered
+
+    names = [f"k{i}" for i in range(len(keys))]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), v.cast("double").alias("x")) for i, v in enumerate(values)])).alias("e")
+    freq = df.select(*[k.alias(n) for k, n in zip(keys, names)], each).where("e.x is not null").groupBy(*names, F.col("e.i").alias("i"), F.col("e.x").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    past = lambda n, p: F.sum(n).over(p)
+    run = ordered.running(freq, [F.asc_nulls_first(c) for c in (*names, "i", "x")], lambda w: {"local": F.sum("n").over(w)}, {"past": F.sum("n")}, past)
+    run = run.select(*names, "i", "x", "n", (F.col("local") + F.coalesce("past", F.lit(0)) - F.col("n")).alias("before"))
+    whole = run.groupBy(*names, "i").agg(F.min("before").alias("start"), F.sum("n").alias("total"))
+    renamed = whole.select(*[F.col(c).alias(f"w{c}") for c in (*names, "i")], "start", "total")
+    same = fold(operator.and_, [F.col(c).eqNullSafe(F.col(f"w{c}")) for c in (*names, "i")])
+    at = run.join(renamed, same).withColumn("before", F.col("before") - F.col("start"))
+    place = lambda q: F.lit(float(q)) * (F.col("total") - 1)
+    holds = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("n"))
+    ends = [F.max(F.when(holds(f(place(q))), F.col("x"))).alias(f"{s}{j}") for j, q in enumerate(qs) for s, f in (("a", F.floor), ("b", F.ceil))]
+    got = at.groupBy(*names, "i").agg(F.max("total").alias("total"), *ends)
+    part = lambda q: place(q) - F.floor(place(q))
+    return got.select(*names, "i", F.array(*[F.col(f"a{j}") + F.when(F.col(f"a{j}") == F.col(f"b{j}"), 0.0).otherwise(F.col(f"b{j}") - F.col(f"a{j}")) * part(q) for j, q in enumerate(qs)]).alias("q"))

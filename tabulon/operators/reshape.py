@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import get_option
 from ..frame import ROW, Frame, as_list, key_column, physical
 from .aggregates import reduce
 
 
+def spread_values(df, c) -> list:
+    """The sorted distinct values of a column that become columns or categories; raises above compute.max_columns."""
+    most = get_option("compute.max_columns")
+    found = [r[0] for r in df.select(c.alias("v")).where("v is not null").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than compute.max_columns ({most}) distinct values; raise the option to spread them")
+    return sorted(found)
+
+
 def melt(frame: Frame, id_vars=None, value_vars=None, var_name="variable", value_name="value") -> Frame:
     ids = as_list(id_vars) if id_vars is not None else []
     values = as_list(value_vars) if value_vars is not None else [x for x in frame._labels if x not in ids]
@@ -23,7 +33,7 @@ def pivot_table(frame: Frame, values=None, index=None, columns=None, aggfunc="me
     vals = as_list(values)
     by = [frame._series(x).col.alias(key_column(i)) for i, x in enumerate(index)] if index else [F.col(k).alias(key_column(i)) for i, k in enumerate(frame._keys)]
     names = index or frame._s["names"]
-    spread = sorted(r[0] for r in frame.df.select(frame._series(columns).col).distinct().collect() if r[0] is not None)  # they become columns
+    spread = spread_values(frame.df, frame._series(columns).col)
     fun = lambda v: aggfunc[v] if isinstance(aggfunc, dict) else aggfunc
     c = frame._series(columns).col
     made = {}
@@ -53,7 +63,7 @@ def unstack_series(s, level=-1) -> Frame:
     f = s._frame
     names = f._s["names"]
     at = names.index(level) if level in names else level % len(f._keys)
-    spread = sorted(r[0] for r in f.df.select(f._keys[at]).distinct().collect() if r[0] is not None)  # they become columns
+    spread = spread_values(f.df, F.col(f._keys[at]))
     left = [k for i, k in enumerate(f._keys) if i != at]
     df = f.df.groupBy(*[F.col(k).alias(key_column(i)) for i, k in enumerate(left)]).agg(*[F.first(F.when(F.col(f._keys[at]) == F.lit(x), s.col), ignorenulls=True).alias(physical(x)) for x in spread])
     keys = [key_column(i) for i in range(len(left))]
@@ -82,7 +92,7 @@ def get_dummies(data, prefix=None, prefix_sep="_", dummy_na=False, columns=None,
     kept = {x: F.col(f"`{frame._where_label(x)}`") for x in frame._labels if x not in picked}
     for i, x in enumerate(picked):
         c = frame._series(x).col
-        values = sorted(r[0] for r in frame.df.select(c).distinct().collect() if r[0] is not None)  # they become columns
+        values = spread_values(frame.df, c)
         lead = (prefix[x] if isinstance(prefix, dict) else prefix[i] if isinstance(prefix, list) else prefix) if prefix is not None else None if isinstance(data, Series) else physical(x)
         name = lambda v: v if lead is None else f"{lead}{prefix_sep}{v}"
         kept |= {name(v): F.coalesce((c == F.lit(v)).cast(dtype), F.lit(0).cast(dtype)) for v in values[bool(drop_first) :]}

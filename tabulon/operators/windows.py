@@ -6,11 +6,14 @@ blocks (plans.ordered), so no task ever sorts the whole table.
 
 from __future__ import annotations
 
+from itertools import count
+from typing import NamedTuple
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..frame import ROW, Frame, physical
+from ..frame import ROW, Frame, Unsupported, physical
 from ..functions import scalar as S
 from ..plans import ordered
 from ..series import Series
@@ -18,42 +21,96 @@ from ..series import Series
 RUNNING = {"cumsum", "cumprod", "cummin", "cummax"}
 
 
-def _input(frame: Frame, series: list[Series], by: list[Column]):
-    """A frame of the inputs, its window order, and the names of group columns."""
-    base = frame._select({f"__v{i}__": S.valid(s.col, s.kind) for i, s in enumerate(series)} | {f"__g{i}__": c for i, c in enumerate(by)})
-    order = [] if base._order == [ROW] and not by else base._by
-    return base, order, [f"__g{i}__" for i in range(len(by))]
+_made = count()
 
 
-def _finish(base: Frame, df, made: list[str], labels: list) -> Frame:
-    cols = [physical(x) for x in labels]
-    hidden = [c for c in base._order]
-    out = df.select(*base._keys, *[c for c in hidden if c not in base._keys], *[F.col(m).alias(c) for m, c in zip(made, cols)])
-    return base._new(df=out, labels=list(labels), cols=cols)
+class Spec(NamedTuple):
+    """One windowed column: its input, groups, and the name and settings of the operator."""
 
+    col: Column
+    kind: T.DataType
+    by: list[Column]
+    name: str
+    settings: dict
 
-def compute(frame: Frame, series: list[Series], by: list[Column], name: str, *args, **options) -> Frame:
-    """The named column for each series over *frame*."""
-    base, order, groups = _input(frame, series, by)
-    vals, made = [f"__v{i}__" for i in range(len(series))], [f"__m{i}__" for i in range(len(series))]
-    kinds = [s.kind for s in series]
-    labels = [s.name if s.name is not None else "0" for s in series]
+
+def columns(frame: Frame, specs: dict[str, Spec], keep: bool = False) -> Frame:
+    """*specs* (new column -> spec) over *frame*'s rows, in one sort for all; with *keep*, its own columns too.
+
+    The frame's table remembers what it was made from, so that ``Frame.assign`` computes columns of several
+    such frames together instead of joining them.
+    """
+    inputs, groups = {}, {}
+    for i, s in enumerate(specs.values()):
+        inputs.setdefault(repr(s.col) + s.kind.simpleString(), (f"__v{i}__", s))
+        for c in s.by:
+            groups.setdefault(repr(c), (f"__g{len(groups)}__", c))
+    named = {v: S.valid(s.col, s.kind) for v, s in inputs.values()} | dict(groups.values())
+    own = {x: F.col(f"`{c}`") for x, c in zip(frame._labels, frame._cols)} if keep else {}
+    base = frame._select(own | named)
+    order = [] if base._order == [ROW] and not groups else base._by
+    if not all(s.by for s in specs.values()):
+        base = base._rows(ordered.positioned(frame.df, base.df, [] if base._order == [ROW] else base._by))
+    together: dict[str, list[str]] = {}
+    for m, s in specs.items():
+        together.setdefault(repr((s.name, s.by, sorted(s.settings.items()))), []).append(m)
+    for mine in together.values():
+        first = specs[mine[0]]
+        vals, kinds = [inputs[repr(specs[m].col) + specs[m].kind.simpleString()][0] for m in mine], [specs[m].kind for m in mine]
+        df = _column(base, vals, mine, kinds, [groups[repr(c)][0] for c in first.by], order, first.name, **first.settings)
+        base = base._rows(df.select(*[F.col(f"`{c}`") for c in [*base.df.columns, *mine]]))
+    kept = list(dict.fromkeys([*base._keys, *base._order, *[physical(x) for x in own], *specs]))
+    df = base.df.select(*[F.col(f"`{c}`") for c in kept])
+    df.__dict__["_tabulon_windows"] = frame, specs
+    return base._new(df=df, labels=[*own, *specs], cols=[*[physical(x) for x in own], *specs])
+
+
+def _column(base: Frame, vals, made, kinds, groups, order, name: str, **options):
     if name == "rank":
-        return _finish(base, _rank(base, vals, made, groups, order, *args, **options), made, labels)
+        return _rank(base, vals, made, groups, order, **options)
     if name in RUNNING:
-        return _finish(base, _running(base, vals, made, groups, order, name, kinds, **options), made, labels)
+        return _running(base, vals, made, groups, order, name, kinds, **options)
     if name in ("ffill", "bfill"):
-        return _finish(base, _fill(base, vals, made, groups, order, name == "bfill", options.get("limit")), made, labels)
-    f, back, ahead = _reach(name, kinds, *args, **options)
+        return _fill(base, vals, made, groups, order, name == "bfill", options.get("limit"))
+    if name == "rows":
+        return _rows_window(base, vals, made, groups, order, **options)
+    f, back, ahead = _reach(name, kinds, **options)
     new = lambda w: {m: f(F.col(v), w, i) for i, (v, m) in enumerate(zip(vals, made))}
     if groups:
-        df = base.df.withColumns(new(Window.partitionBy(*groups).orderBy(*order)))
-    else:
-        df = ordered.bounded(base.df, order, back, ahead, new)
-    return _finish(base, df, made, labels)
+        return base.df.withColumns(new(Window.partitionBy(*groups).orderBy(*order)))
+    return ordered.bounded(base.df, order, back, ahead, new)
+
+
+#: Parameters of each operator, in the order that callers may give them in.
+PARAMETERS = {
+    "shift": ("periods", "fill_value"), "diff": ("periods", "axis"), "pct_change": ("periods",), "rank": ("method", "ascending"),
+    "ffill": ("axis", "inplace", "limit"), "bfill": ("axis", "inplace", "limit"), **{n: ("skipna",) for n in RUNNING},
+}
+
 
+def settings_of(name: str, args: tuple, options: dict) -> dict:
+    """The given parameters by name; those that aren't offered, or not for these values, raise."""
+    given = dict(zip(PARAMETERS[name], args)) | options
+    for k, v in list(given.items()):
+        if k not in PARAMETERS[name]:
+            raise TypeError(f"{name} has no parameter {k!r}")
+        if k == "axis" and v not in (None, 0, "index"):
+            raise Unsupported(f"{name} goes along rows")
+        if k in ("axis", "inplace"):
+            given.pop(k)
+    return given
 
-def _reach(name, kinds, periods=1, fill_value=None, axis=0, **_):
+
+def compute(frame: Frame, series: list[Series], by: list[Column], name: str, *args, **options) -> Frame:
+    """The named column for each series over *frame*."""
+    settings = settings_of(name, args, options)
+    labels = [s.name if s.name is not None else "0" for s in series]
+    made = [f"__w{next(_made)}__" for _ in series]
+    out = columns(frame, {m: Spec(s.col, s.kind, by, name, settings) for m, s in zip(made, series)})
+    return out._new(labels=labels)
+
+
+def _reach(name, kinds, periods=1, fill_value=None):
     back, ahead = max(periods, 0), max(-periods, 0)
     lag = lambda c, w: F.lag(c, periods).over(w) if periods >= 0 else F.lead(c, -periods).over(w)
     if name == "shift":
@@ -65,7 +122,7 @@ def _reach(name, kinds, periods=1, fill_value=None, axis=0, **_):
     return (lambda c, w, i: S.truediv(c - lag(c, w), lag(c, w))), back, ahead
 
 
-def _running(base, vals, made, groups, order, name, kinds, skipna=True, **_):
+def _running(base, vals, made, groups, order, name, kinds, skipna=True):
     agg = {"cumsum": F.sum, "cumprod": lambda c: F.product(c.cast("double")), "cummin": F.min, "cummax": F.max}[name]
     join = {"cumsum": lambda a, b: F.coalesce(a, F.lit(0)) + b, "cumprod": lambda a, b: F.coalesce(a, F.lit(1.0)) * b, "cummin": lambda a, b: F.least(a, b), "cummax": lambda a, b: F.greatest(a, b)}[name]
     shape = lambda c, i: F.round(c).cast("long") if name == "cumprod" and isinstance(kinds[i], T.IntegralType) else c
@@ -99,7 +156,7 @@ def _fill(base, vals, made, groups, order, back, limit):
     if limit:
         ahead = lambda w: {m: F.first(v, ignorenulls=True).over(w.rowsBetween(Window.currentRow, limit)) for v, m in zip(vals, made)}
         return ordered.bounded(base.df, order, 0 if back else limit, limit if back else 0, ahead if back else new)
-    rows = ordered.positions(base.df, order).withColumn(ordered.BLK, F.floor(F.col(ordered.POS) / ordered.BLOCK))
+    rows = (base.df if ordered.POS in base.df.columns else ordered.positions(base.df, order)).withColumn(ordered.BLK, F.floor(F.col(ordered.POS) / ordered.BLOCK))
     edge, way = (F.min_by, F.desc) if back else (F.max_by, F.asc)
     sums = rows.groupBy(ordered.BLK).agg(*[edge(v, F.when(F.col(v).isNotNull(), F.col(ordered.POS))).alias(f"__t{i}__") for i, v in enumerate(vals)])
     past = Window.orderBy(way(ordered.BLK)).rowsBetween(Window.unboundedPreceding, -1)
@@ -109,7 +166,7 @@ def _fill(base, vals, made, groups, order, back, limit):
     return df.withColumns({m: F.coalesce(m, f"__t{i}__") for i, m in enumerate(made)}).drop(ordered.BLK)
 
 
-def _rank(base, vals, made, groups, order, method="average", ascending=True, **_):
+def _rank(base, vals, made, groups, order, method="average", ascending=True):
     """Ranks by counts of distinct values: copies are summed up before any sort."""
     df = base.df
     for v, m in zip(vals, made):
@@ -143,33 +200,37 @@ def rolling(target, by: list[Column], n: int | None, least: int, name: str):
     """Windows of n rows (None: all so far). A value shows where enough rows of its window are valid."""
     frame = target if isinstance(target, Frame) else target._frame
     series = target._each(S.numeric) if isinstance(target, Frame) else [target]
-    base, order, groups = _input(frame, series, by)
-    vals, made = [f"__v{i}__" for i in range(len(series))], [f"__m{i}__" for i in range(len(series))]
-    agg = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp, "var": F.var_samp}[name]
+    made = [f"__w{next(_made)}__" for _ in series]
+    settings = {"n": n, "least": least, "what": name}
+    out = columns(frame, {m: Spec(s.col, s.kind, by, "rows", settings) for m, s in zip(made, series)})
+    out = out._new(labels=[s.name if s.name is not None else "0" for s in series])
+    return out if isinstance(target, Frame) else out._series(out._labels[0]).rename(target.name)
+
+
+def _rows_window(base, vals, made, groups, order, n, least, what):
+    agg = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp, "var": F.var_samp}[what]
 
     def gated(c, w):
-        enough = F.count(c).over(w) if n is not None or name != "count" else F.count(F.lit(1)).over(w)
+        enough = F.count(c).over(w) if n is not None or what != "count" else F.count(F.lit(1)).over(w)
         value = agg(c).over(w).cast("double")
-        return value if name == "count" and n is not None else F.when(enough >= least, value)
+        return value if what == "count" and n is not None else F.when(enough >= least, value)
 
-    if groups or n is not None:
-        span = lambda w: w.rowsBetween(-(n - 1) if n is not None else Window.unboundedPreceding, Window.currentRow)
-        new = lambda w: {m: gated(F.col(v).cast("double"), span(w)) for v, m in zip(vals, made)}
-        df = base.df.withColumns(new(Window.partitionBy(*groups).orderBy(*order))) if groups else ordered.bounded(base.df, order, max(n - 1, 0), 0, new)
-    else:
-        df = _expanding(base, vals, made, order, name, least)
-    out = _finish(base, df, made, [s.name if s.name is not None else "0" for s in series])
-    return out if isinstance(target, Frame) else out._series(out._labels[0]).rename(target.name)
+    if not groups and n is None:
+        return _expanding(base, vals, made, order, what, least)
+    span = lambda w: w.rowsBetween(-(n - 1) if n is not None else Window.unboundedPreceding, Window.currentRow)
+    new = lambda w: {m: gated(F.col(v).cast("double"), span(w)) for v, m in zip(vals, made)}
+    return base.df.withColumns(new(Window.partitionBy(*groups).orderBy(*order))) if groups else ordered.bounded(base.df, order, max(n - 1, 0), 0, new)
 
 
 def _expanding(base, vals, made, order, name, least):
     """Counts, sums, extremes and squared deviations of the block and of the blocks before, combined."""
     parts = {"n": lambda c: F.count(c), "s": lambda c: F.sum(c), "lo": lambda c: F.min(c), "hi": lambda c: F.max(c), "d": lambda c: F.var_pop(c) * F.count(c), "r": lambda c: F.count(F.lit(1))}
     cols = {i: F.col(v).cast("double") for i, v in enumerate(vals)}
-    totals = {f"__{k}{i}__": f(c) for k, f in parts.items() for i, c in cols.items()}
+    which = {f"__{k}{i}__": (k, i) for k in parts for i in cols}
+    totals = {key: parts[k](cols[i]) for key, (k, i) in which.items()}
 
     def carry(key, past):
-        k, i = key.strip("_")[:-1], key.strip("_")[-1]
+        k, i = which[key]
         if k in ("lo", "hi"):
             return (F.min if k == "lo" else F.max)(key).over(past)
         if k == "d":  # deviations within the blocks, and of their means
@@ -195,11 +256,9 @@ def _expanding(base, vals, made, order, name, least):
 
 def over_frame(frame: Frame, by, name, *args, **options) -> Frame:
     only = None if name in ("shift", "ffill", "bfill") else S.numeric
-    options.pop("inplace", None)
     return compute(frame, frame._each(only), by, name, *args, **options)
 
 
 def over_series(s: Series, by, name, *args, **options) -> Series:
-    options.pop("inplace", None)
     out = compute(s._frame, [s], by, name, *args, **options)
     return out._series(out._labels[0]).rename(s.name)

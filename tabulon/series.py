@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .config import get_option
-from .frame import ALIASES, COMPARISONS, PAIRS, ROW, Frame, Unsupported, _aligned, _edge, _Named, as_list, from_pandas, key_column, physical, spark_type
+from .frame import ALIASES, COMPARISONS, PAIRS, ROW, Frame, Unsupported, _aligned, _edge, _Named, as_list, only, from_pandas, key_column, physical, spark_type
 from .functions import scalar as S
 from .functions import strings, temporal
 from .operators.aggregates import reduce
@@ -136,7 +136,14 @@ class Series(_Named):
     alias = rename
 
     def rename_axis(self, mapper=None, index=None, inplace=False) -> "Series":
-        return Series(self._frame.rename_axis(mapper, index), self.col, self.name)
+        return self._into(Series(self._frame.rename_axis(mapper, index), self.col, self.name), inplace)
+
+    def _into(self, out: "Series", inplace: bool):
+        """In place, this object takes the other's rows and values; the frame it came from stays."""
+        if not inplace:
+            return out
+        self.__dict__.pop("kind", None)
+        self._frame, self.col = out._frame, out.col
 
     def _on_index(self, f) -> "Series":
         out = self.to_frame()
@@ -339,13 +346,15 @@ class Series(_Named):
         return self._as(F.when(x > upper, F.lit(upper)).otherwise(c) if upper is not None else c)
 
     def fillna(self, value=None, method=None, axis=None, inplace=False, limit=None) -> "Series":
+        only(axis=(axis, None, 0, "index"), limit=(limit if method is None else None, None))
         if method is not None:
-            return self.ffill(limit=limit) if method in ("ffill", "pad") else self.bfill(limit=limit)
+            return self._into(self.ffill(limit=limit) if method in ("ffill", "pad") else self.bfill(limit=limit), inplace)
         c = value.col if isinstance(value, Series) else F.lit(value)
-        return self._as(F.when(S.missing(self.col, self.kind), c).otherwise(self.col))
+        return self._into(self._as(F.when(S.missing(self.col, self.kind), c).otherwise(self.col)), inplace)
 
-    def dropna(self, axis=0, inplace=False, **kwargs) -> "Series":
-        return self._where(self.notna())
+    def dropna(self, axis=0, inplace=False) -> "Series":
+        only(axis=(axis, 0, "index"))
+        return self._into(self._where(self.notna()), inplace)
 
     def replace(self, to_replace=None, value=None, regex=False) -> "Series":
         if isinstance(to_replace, dict):
@@ -375,7 +384,12 @@ class Series(_Named):
         return self.apply(arg)
 
     def drop(self, labels=None, index=None, level=None) -> "Series":
-        return self._where(~self.index.isin(as_list(labels if labels is not None else index)))
+        gone = as_list(labels if labels is not None else index)
+        if level is None and len(self._frame._keys) == 1:
+            return self._where(~self.index.isin(gone))
+        names = self._frame._s["names"]
+        key = F.col(self._frame._keys[names.index(level) if level in names else level or 0])
+        return Series(self._frame._rows(self._frame.df.where(~key.isin(gone))), self.col, self.name)
 
     def filter(self, items=None, like=None, regex=None, axis=None) -> "Series":
         return self.to_frame().filter(items, like, regex, axis=0)._series(self._label)
@@ -396,6 +410,7 @@ class Series(_Named):
         return series_apply(self, lambda s: s.apply(func, args=args, **kwds), func)
 
     def transform(self, func, axis=0, *args, **kwargs):
+        only(axis=(axis, 0, "index"))
         if isinstance(func, list):
             return self.to_frame()._select({f.__name__: self.transform(f).col for f in func})
         if isinstance(func, np.ufunc):
@@ -443,10 +458,12 @@ class Series(_Named):
     def append(self, to_append, ignore_index=False, verify_integrity=False) -> "Series":
         from .api import concat
 
+        if verify_integrity and not ignore_index and not self.index.intersection(to_append.index).empty:
+            raise ValueError("both have a row of the same index")
         return concat([self, to_append], ignore_index=ignore_index)
 
     def drop_duplicates(self, keep="first", inplace=False) -> "Series":
-        return self.to_frame().drop_duplicates(keep=keep)._series(self._label)
+        return self._into(self.to_frame().drop_duplicates(keep=keep)._series(self._label).rename(self.name), inplace)
 
     def duplicated(self, keep="first"):
         return self.to_frame().duplicated(keep=keep)
@@ -459,6 +476,10 @@ class Series(_Named):
         return self._frame.df.agg(c).first()[0]
 
     def _reduced(self, name, **options):
+        if name in ("median", "quantile") and not options.get("accuracy") and options.get("skipna", True):
+            q = options.get("q", 0.5)
+            (got,) = self._frame._quantiles(q if isinstance(q, list) else [q], [self])
+            return got if isinstance(q, list) else got[0]
         return self._one(reduce(name, self.col, self.kind, **options))
 
     def quantile(self, q=0.5, accuracy=None):
@@ -494,10 +515,13 @@ class Series(_Named):
         return me._frame.df.agg(F.corr(S.valid(me.col, me.kind).cast("double"), S.valid(c, kind).cast("double"))).first()[0]
 
     def idxmax(self, skipna=True):
-        return self._one(_edge(self, F.max_by, True))
+        return self._idx(F.max_by, True, skipna)
 
     def idxmin(self, skipna=True):
-        return self._one(_edge(self, F.min_by, False))
+        return self._idx(F.min_by, False, skipna)
+
+    def _idx(self, by, largest, skipna):
+        return self._one(_edge(self, by, largest) if skipna else F.when(~F.max(S.missing(self.col, self.kind)), _edge(self, by, largest)))
 
     def _argedge(self, largest):
         at = self._positioned()
@@ -545,6 +569,7 @@ class Series(_Named):
 
     def factorize(self, sort=True, na_sentinel=-1):
         """Codes of the sorted distinct values, and the values."""
+        only(sort=(sort, True))
         values = self._counts().select("v")
         codes = ordered.positions(values, [F.col("v")], "__code__")
         frame = self._frame._select({"__v__": self.col})
@@ -558,10 +583,11 @@ class Series(_Named):
 
     # ---- sort --------------------------------------------------------------------------------------
     def sort_values(self, ascending=True, inplace=False, na_position="last") -> "Series":
-        return self.to_frame().sort_values(self._label, ascending, na_position=na_position)._series(self._label)
+        return self._into(self.to_frame().sort_values(self._label, ascending, na_position=na_position)._series(self._label), inplace)
 
     def sort_index(self, axis=0, level=None, ascending=True, inplace=False, kind=None, na_position="last") -> "Series":
-        return self.to_frame().sort_index(level=level, ascending=ascending, na_position=na_position)._series(self._label)
+        only(axis=(axis, 0, "index"))
+        return self._into(self.to_frame().sort_index(level=level, ascending=ascending, na_position=na_position)._series(self._label), inplace)
 
     def argsort(self) -> "Series":
         rows = self._positioned()
@@ -615,6 +641,7 @@ class Series(_Named):
     def groupby(self, by, axis=0, as_index=True, dropna=True):
         from .groupby import GroupBy
 
+        only(axis=(axis, 0, "index"))
         by = [b if isinstance(b, Series) else self._frame._series(b) for b in as_list(by)]
         base = self._frame._select({self._label: self.col} | {f"__by{i}__": b.col for i, b in enumerate(by)})
         keys = [Series(base, F.col(f"__by{i}__"), b.name) for i, b in enumerate(by)]
@@ -623,7 +650,9 @@ class Series(_Named):
     # ---- the rest ----------------------------------------------------------------------------------
     def reset_index(self, level=None, drop=False, name=None, inplace=False):
         out = self.to_frame(name).reset_index(level, drop)
-        return out._series(out._labels[-1]) if drop else out
+        if inplace and not drop:
+            raise TypeError("a series that becomes a table can't do so in place")
+        return self._into(out._series(out._labels[-1]), inplace) if drop else out
 
     def droplevel(self, level):
         return self.to_frame().droplevel(level)._series(self._label)
@@ -729,24 +758,31 @@ def _driver(name):
 
 def _reducer(name):
     def method(self, axis=None, skipna=True, numeric_only=None, **options):
-        return self._reduced(name, **options)
+        only(axis=(axis, None, 0, "index"), numeric_only=(numeric_only, None, False, True))
+        return self._reduced(name, **({} if name in ("count", "any", "all") else {"skipna": skipna}), **options)
 
     method.__name__ = name
     return method
 
 
 def _arithmetic(name, back):
-    def method(self, other, level=None, fill_value=None, axis=0):
+    def method(self, other, fill_value=None):
+        """With *fill_value*, that stands for what is missing on one side only."""
         if isinstance(other, Frame):
             return NotImplemented
-        return self._binary(name, other, back)
+        if fill_value is None:
+            return self._binary(name, other, back)
+        me, c, kind = self._operands(other)
+        gap, theirs = S.missing(me.col, me.kind), S.missing(c, kind)
+        mine = me._as(F.when(gap & ~theirs, F.lit(fill_value)).otherwise(me.col))
+        return mine._binary(name, Series(me._frame, F.when(theirs & ~gap, F.lit(fill_value)).otherwise(c), None), back)
 
     method.__name__ = name
     return method
 
 
 def _comparison(name):
-    def method(self, other, level=None, fill_value=None, axis=0):
+    def method(self, other):
         me, c, kind = self._operands(other)
         return me._as(S.compare(name, S.valid(me.col, me.kind), S.valid(c, kind)))
 
@@ -789,9 +825,13 @@ class Index(_Named):
     _scope = "Index"
 
     def __init__(self, frame, cols=None, names=None):
+        self.categories_, self._ordered = None, False
         if not isinstance(frame, Frame):
-            made = from_pandas(frame if isinstance(frame, pd.Index) else pd.Index(frame))
+            given = frame if isinstance(frame, pd.Index) else pd.Index(frame)
+            made = from_pandas(given)
             frame, cols, names = made._frame, made._cols, made.names
+            if isinstance(given, pd.CategoricalIndex):
+                self.categories_, self._ordered = list(given.categories), bool(given.ordered)
         self._frame, self._cols, self.names = frame, cols, list(names)
 
     @property
@@ -809,7 +849,9 @@ class Index(_Named):
 
     def rename(self, name, inplace=False):
         names = [name] if not isinstance(name, (list, tuple)) else list(name)
-        return Index(self._frame._new(names=names), self._cols, names)
+        if not inplace:
+            return Index(self._frame._new(names=names), self._cols, names)
+        self._frame, self.names = self._frame._new(names=names), names
 
     set_names = rename
 
@@ -860,6 +902,14 @@ class Index(_Named):
     def __len__(self):
         return len(self._frame)
 
+    def __bool__(self):
+        raise ValueError("the truth value of an index is ambiguous")
+
+    def __abs__(self):
+        if len(self._cols) > 1:
+            raise TypeError("an index of several levels has no absolute values")
+        return Index(self._frame, [abs(self._s).col], self.names)
+
     size = property(__len__)
     shape = property(lambda self: (len(self),))
     empty = property(lambda self: self._frame.df.isEmpty())
@@ -911,6 +961,8 @@ class Index(_Named):
         return self._made(self._rows()[0].dropna(), self._rows()[1])
 
     def unique(self, level=None):
+        if level is not None and len(self._cols) > 1:
+            return self.get_level_values(level).unique()
         df, cols = self._rows()
         return self._made(df.distinct(), cols)
 
@@ -1058,7 +1110,18 @@ class Index(_Named):
         return isinstance(self.kind, (T.StringType, T.ArrayType, T.StructType, T.MapType))
 
     def is_categorical(self):
-        return False
+        return self.categories_ is not None
+
+    def _categorical(self) -> "CategoricalMethods":
+        if self.categories_ is None:
+            raise AttributeError("the index is not categorical")
+        s = self._s
+        s.categories_, s._ordered = list(self.categories_), self._ordered
+        return CategoricalMethods(s)
+
+    categories = property(lambda self: self._categorical().categories)
+    ordered = property(lambda self: self._categorical().ordered)
+    codes = property(lambda self: Index(self._frame, [self._categorical().codes.col], [None]))
 
     def is_interval(self):
         return False
@@ -1086,7 +1149,11 @@ class Index(_Named):
 
     def indexer_between_time(self, start_time, end_time, include_start=True, include_end=True):
         at = self._frame._rows(ordered.positions(self._frame.df, self._frame._by))
-        return np.array(sorted(r[0] for r in at.between_time(start_time, end_time, include_start, include_end).df.select(ordered.POS).collect()))
+        most = get_option("compute.max_rows")
+        found = at.between_time(start_time, end_time, include_start, include_end).df.select(ordered.POS).limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"more than compute.max_rows ({most}) positions; raise the option to fetch them")
+        return np.array(sorted(r[0] for r in found))
 
     def indexer_at_time(self, time, asof=False):
         return self.indexer_between_time(time, time)
@@ -1138,7 +1205,8 @@ class StringMethods:
             if name in ("contains", "match", "startswith", "endswith") and "na" in kwargs:
                 na = kwargs.pop("na")
                 return self._s._as(F.coalesce(f(self._s.col, *args, **kwargs), F.lit(na)))
-            c = f(self._s.col, *args, **{k: v for k, v in kwargs.items() if k != "flags"})
+            only(flags=(kwargs.pop("flags", 0), 0))
+            c = f(self._s.col, *args, **kwargs)
             if name in ("split", "rsplit") and expand:
                 n = kwargs.get("n", args[1] if len(args) > 1 else -1)
                 if n <= 0:
@@ -1169,7 +1237,7 @@ class CategoricalMethods:
     def __init__(self, series: Series):
         self._s = series
         if series.categories_ is None:
-            series.categories_ = sorted(r.v for r in series._counts().select("v").collect())
+            series.categories_ = spread_values(series._frame.df, series.col)
 
     @property
     def categories(self):
@@ -1197,7 +1265,7 @@ class CategoricalMethods:
         return self._with([c for c in self._s.categories_ if c not in gone], F.when(~self._s.col.isin(gone), self._s.col))
 
     def remove_unused_categories(self):
-        used = {r.v for r in self._s._counts().select("v").collect()}
+        used = set(spread_values(self._s._frame.df, self._s.col))
         return self._with([c for c in self._s.categories_ if c in used])
 
     def rename_categories(self, new_categories):
@@ -1245,6 +1313,10 @@ class Rolling(_Named):
         self._t, self._by, self._n = target, by, window
         self._least = min_periods if min_periods is not None else (window if window is not None else 1)
 
+    def __repr__(self):
+        kind = "Expanding [" if self._n is None else f"Rolling [window={self._n},"
+        return f"{kind}min_periods={self._least}]"
+
     def _apply(self, name):
         from .operators.windows import rolling
 
@@ -1398,4 +1470,5 @@ class _IAt(_Indexer):
         return _ILoc(self._t)[row, col] if col is not None else _ILoc(self._t)[row]
 
 
+from .operators.reshape import spread_values  # noqa: E402
 from .plans import ordered  # noqa: E402
