@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import OptionError, get_option, option_context, options, reset_option, set_option, show_options
-from .frame import ROW, Frame, Unsupported, from_pandas, key_column, physical
+from .frame import ROW, Frame, Unsupported, from_pandas, key_column, only, physical
 from .groupby import GroupBy, NamedAgg
 from .operators.reshape import get_dummies
 from .series import Index, Series
@@ -99,8 +99,9 @@ def to_numeric(arg):
     return arg._as(arg.col.try_cast("double"))
 
 
-def to_datetime(arg, errors="raise", format=None, unit=None, origin="unix", **_):
+def to_datetime(arg, errors="raise", format=None, unit=None, origin="unix"):
     """Strings by Spark's parser (or a pattern), numbers as time since the epoch."""
+    only(origin=(origin, "unix"))
     if isinstance(arg, Frame):
         c = F.make_timestamp(*[F.col(f"`{arg._where_label(k)}`") for k in ("year", "month", "day")], *[F.col(f"`{arg._where_label(k)}`") if k in arg._labels else F.lit(0) for k in ("hour", "minute", "second")])
         return Series(arg, c, None)
@@ -131,6 +132,26 @@ def sql(query: str, **values) -> Frame:
     return Frame(spark.sql(query, **{k: given(v) for k, v in values.items() if not isinstance(v, (list, tuple, pd.Index))}))
 
 
+def CategoricalIndex(data=None, categories=None, ordered=None, dtype=None, name=None) -> Index:
+    """An index with categories: values of a series or index, or local ones."""
+    if isinstance(data, (Series, Index)):
+        s = (data if isinstance(data, Series) else data.to_series()).astype(dtype if dtype is not None else pd.CategoricalDtype(categories, ordered))
+        out = Index(data._frame, [s.col], [name if name is not None else data.name])
+        out.categories_, out._ordered = list(s.cat.categories), bool(ordered)
+        return out
+    return Index(pd.CategoricalIndex(data, categories, ordered, dtype, name=name))
+
+
+def DatetimeIndex(data=None, freq=None, normalize=False, name=None) -> Index:
+    """An index of times: values of a series or index, or local ones, whose *freq* must hold."""
+    if isinstance(data, (Series, Index)):
+        only(freq=(freq, None))
+        c = (data.col if isinstance(data, Series) else data._cols[0]).cast("timestamp_ntz")
+        return Index(data._frame, [F.date_trunc("day", c).cast("timestamp_ntz") if normalize else c], [name if name is not None else data.name])
+    made = pd.DatetimeIndex(data, freq=freq, name=name)
+    return Index(made.normalize() if normalize else made)
+
+
 def wrap(df: DataFrame, index_col=None, order=None) -> Frame:
     """A Spark DataFrame as a labelled table."""
     return Frame(df, index_col, order)

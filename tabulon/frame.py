@@ -67,11 +67,22 @@ class Unsupported(NotImplementedError):
 
 #: Pandas names that are declared and not offered.
 UNSUPPORTED = {
-    "Frame": "asfreq asof boxplot combine combine_first compare convert_dtypes corrwith cov ewm infer_objects interpolate lookup mode reorder_levels resample set_axis slice_shift to_feather to_gbq to_hdf to_period to_sql to_stata to_timestamp tshift tz_convert tz_localize".split(),
-    "Series": "asfreq autocorr combine convert_dtypes cov ewm infer_objects interpolate reorder_levels resample searchsorted set_axis slice_shift to_hdf to_period to_sql to_timestamp tshift tz_convert tz_localize view array nbytes".split(),
-    "Index": "nbytes argsort asof_locs format get_indexer get_indexer_for get_indexer_non_unique get_loc get_slice_bound get_value groupby is_ join map putmask ravel reindex searchsorted slice_indexer slice_locs sortlevel to_flat_index to_native_types where".split(),
-    "GroupBy": "corr corrwith cov dtypes groups hist indices mad ngroups plot quantile skew tshift boxplot ngroup nth ohlc pct_change pipe prod resample sem take".split(),
-    "Rolling": "agg aggregate apply corr cov kurt median quantile skew validate exclusions is_datetimelike is_freq_type".split(),
+    "Frame": (
+        "asfreq asof boxplot combine combine_first compare convert_dtypes corrwith cov ewm infer_objects interpolate lookup mode reorder_levels resample set_axis slice_shift to_feather to_gbq to_hdf to_period to_sql to_stata to_timestamp tshift tz_convert tz_localize to_pickle memory_usage to_xarray "
+        "convert_objects select to_panel get_values compound reindex_axis blocks ftypes is_copy ix as_blocks as_matrix clip_lower clip_upper get_ftype_counts get_value set_value to_dense to_sparse to_msgpack"
+    ).split(),
+    "Series": (
+        "asfreq autocorr combine convert_dtypes cov ewm infer_objects interpolate reorder_levels resample searchsorted set_axis slice_shift to_hdf to_period to_sql to_timestamp tshift tz_convert tz_localize view array nbytes memory_usage to_pickle to_xarray ravel real "
+        "convert_objects nonzero reindex_axis select get_values blocks ftypes ftype is_copy ix asobject strides imag itemsize data base flags as_blocks as_matrix clip_lower clip_upper compress get_ftype_counts get_value set_value valid to_dense to_sparse to_msgpack compound put ptp"
+    ).split(),
+    "Index": (
+        "nbytes argsort asof_locs format get_indexer get_indexer_for get_indexer_non_unique get_loc get_slice_bound get_value groupby is_ is_lexsorted_for_tuple join map putmask ravel reindex searchsorted slice_indexer slice_locs sortlevel to_flat_index to_native_types where is_mixed set_value array duplicated memory_usage get_values strides data itemsize base flags get_duplicates summary contains "
+        "nanosecond date time timetz tz freq freqstr inferred_freq snap tz_convert tz_localize to_period to_perioddelta to_pydatetime mean std "
+        "rename_categories reorder_categories add_categories remove_categories remove_unused_categories set_categories as_ordered as_unordered categories ordered "
+        "equal_levels get_loc_level get_locs is_lexsorted remove_unused_levels reorder_levels set_codes set_levels truncate codes levels set_labels labels to_hierarchical"
+    ).split(),
+    "GroupBy": "corr corrwith cov dtype dtypes groups hist indices is_monotonic_decreasing is_monotonic_increasing mad ngroups plot quantile skew tshift boxplot ngroup nth ohlc pct_change pipe prod resample sem take".split(),
+    "Rolling": "agg aggregate apply corr cov kurt median quantile skew validate exclusions is_datetimelike is_freq_type ndim".split(),
 }
 
 
@@ -310,6 +321,7 @@ class Frame(_Named):
         return self.rename(columns=lambda x: physical(x) + suffix)
 
     def rename_axis(self, mapper=None, index=None, columns=None, axis=0, inplace=False):
+        only(axis=(axis, 0, "index"), columns=(columns, None))
         names = mapper if mapper is not None else index
         names = [names] if not isinstance(names, (list, tuple, dict)) else names
         if isinstance(names, dict):
@@ -387,6 +399,7 @@ class Frame(_Named):
         return func(self, *args, **kwargs)
 
     def squeeze(self, axis=None):
+        only(axis=(axis, None, 1, "columns"))
         return self[self._labels[0]].squeeze() if len(self._labels) == 1 else self
 
     def items(self):
@@ -480,11 +493,13 @@ class Frame(_Named):
         return self._into(out, inplace)
 
     def droplevel(self, level, axis=0) -> "Frame":
+        only(axis=(axis, 0, "index"))
         gone = {self._s["names"].index(x) if x in self._s["names"] else x for x in as_list(level)}
         left = [i for i in range(len(self._keys)) if i not in gone]
         return self._new(keys=[self._keys[i] for i in left], names=[self._s["names"][i] for i in left])
 
     def swaplevel(self, i=-2, j=-1, axis=0) -> "Frame":
+        only(axis=(axis, 0, "index"))
         keys, names = list(self._keys), list(self._s["names"])
         i, j = (names.index(x) if x in names else x for x in (i, j))
         keys[i], keys[j], names[i], names[j] = keys[j], keys[i], names[j], names[i]
@@ -559,6 +574,7 @@ class Frame(_Named):
         return self.loc[before:after]
 
     def xs(self, key, axis=0, level=None) -> "Frame":
+        only(axis=(axis, 0, "index"))
         key = key if isinstance(key, tuple) else (key,)
         at = [self._s["names"].index(x) if x in self._s["names"] else x for x in as_list(level)] if level is not None else list(range(len(key)))
         test = fold(operator.and_, [F.col(self._keys[i]) == k for i, k in zip(at, key)])
@@ -566,13 +582,15 @@ class Frame(_Named):
         return self._rows(self.df.where(test))._new(keys=[self._keys[i] for i in left], names=[self._s["names"][i] for i in left])
 
     def between_time(self, start_time, end_time, include_start=True, include_end=True, axis=0) -> "Frame":
+        only(axis=(axis, 0, "index"))
         clock = F.date_format(F.col(self._keys[0]), "HH:mm:ss.SSSSSS")
         a, b = (str(pd.Timestamp(str(x)).time().isoformat("microseconds")) for x in (start_time, end_time))
         low, high = (clock >= a if include_start else clock > a), (clock <= b if include_end else clock < b)
         return self._rows(self.df.where(low & high if a <= b else low | high))
 
     def at_time(self, time, asof=False, axis=0) -> "Frame":
-        return self.between_time(time, time)
+        only(asof=(asof, False))
+        return self.between_time(time, time, axis=axis)
 
     def first(self, offset) -> "Frame":
         start = self.df.agg(F.min(self._keys[0])).first()[0]
@@ -1079,7 +1097,8 @@ class _SparkFrame:
         return self._f._rows(self._f.df.coalesce(n))
 
     def checkpoint(self, eager=True):
-        """The rows written into the folder that executors share, and read back."""
+        """The rows written into the folder that executors share, and read back, at once."""
+        only(eager=(eager, True))
         return self._f._rows(ordered.cut(self._f.df))
 
     #: A local checkpoint is lost with its executor, so the shared one is taken here too.

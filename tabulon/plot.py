@@ -38,7 +38,8 @@ def box(frame: Frame, label, whis: float = 1.5, fliers: int = 1000) -> dict:
     """Quartiles, fences, whiskers and the fliers farthest out."""
     s = frame._series(label)
     x = S.valid(s.col, s.kind).cast("double")
-    mean, (q1, med, q3) = frame.df.agg(F.avg(x), F.percentile(x, [0.25, 0.5, 0.75])).first()
+    mean = frame.df.agg(F.avg(x)).first()[0]
+    ((q1, med, q3),) = frame._quantiles([0.25, 0.5, 0.75], [s])
     low, high = q1 - whis * (q3 - q1), q3 + whis * (q3 - q1)
     inside = x.between(low, high)
     a, b = frame.df.agg(F.min(F.when(inside, x)), F.max(F.when(inside, x))).first()
@@ -85,8 +86,8 @@ class Plot:
         edges, counts = histogram(self._f, bins)
         return pd.DataFrame(counts, index=pd.IntervalIndex.from_breaks(edges)).plot.bar(**kw)
 
-    def box(self, **kw):
-        return pd.DataFrame({x: box(self._f, x) for x in self._f._labels})
+    def box(self, whis=1.5):
+        return pd.DataFrame({s.name: box(self._f, s.name, whis) for s in self._f._each(S.numeric)})
 
     def kde(self, bw_method=None, ind=None, **kw):
         lines = {x: pd.Series(*reversed(kde(self._f, x, bw_method, ind))) for x in self._f._labels}

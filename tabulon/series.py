@@ -130,7 +130,7 @@ class Series(_Named):
     def _label(self):
         return "0" if self.name is None else self.name
 
-    def rename(self, index=None, **kwargs) -> "Series":
+    def rename(self, index=None) -> "Series":
         return self._as(self.col, index)
 
     alias = rename
@@ -169,6 +169,7 @@ class Series(_Named):
     T = property(transpose)
 
     def swapaxes(self, i, j, copy=True):
+        only(i=(i, 0, "index"), j=(j, 0, "index"))
         return self
 
     def pipe(self, func, *args, **kwargs):
@@ -208,6 +209,7 @@ class Series(_Named):
         return rows[0][0]
 
     def squeeze(self, axis=None):
+        only(axis=(axis, None, 0, "index"))
         rows = self._frame.df.select(self.col.alias("x")).take(2)
         return rows[0][0] if len(rows) == 1 else self
 
@@ -392,6 +394,7 @@ class Series(_Named):
         return Series(self._frame._rows(self._frame.df.where(~key.isin(gone))), self.col, self.name)
 
     def filter(self, items=None, like=None, regex=None, axis=None) -> "Series":
+        only(axis=(axis, None, 0, "index"))
         return self.to_frame().filter(items, like, regex, axis=0)._series(self._label)
 
     def repeat(self, repeats) -> "Series":
@@ -432,6 +435,7 @@ class Series(_Named):
         return mine._as(F.coalesce(S.valid(mine.col, mine.kind), theirs.col))
 
     def align(self, other, join="outer", axis=None, copy=True):
+        only(axis=(axis, None, 0, "index"))
         _, (mine, theirs) = _both(self, other, join)
         return mine, theirs
 
@@ -664,10 +668,10 @@ class Series(_Named):
         return self.to_frame().xs(key, level=level)._series(self._label)
 
     def at_time(self, time, asof=False, axis=0):
-        return self.to_frame().at_time(time)._series(self._label)
+        return self.to_frame().at_time(time, asof, axis)._series(self._label)
 
     def between_time(self, start_time, end_time, include_start=True, include_end=True, axis=0):
-        return self.to_frame().between_time(start_time, end_time, include_start, include_end)._series(self._label)
+        return self.to_frame().between_time(start_time, end_time, include_start, include_end, axis)._series(self._label)
 
     def first(self, offset):
         return self.to_frame().first(offset)._series(self._label)
@@ -679,6 +683,7 @@ class Series(_Named):
         return self.to_frame().sample(n, frac, replace, random_state)._series(self._label)
 
     def truncate(self, before=None, after=None, axis=None, copy=True):
+        only(axis=(axis, None, 0, "index"))
         return self.to_frame().truncate(before, after)._series(self._label)
 
     def take(self, indices):
@@ -878,7 +883,8 @@ class Index(_Named):
 
     def to_frame(self, index=True, name=None) -> Frame:
         names = as_list(name) if name is not None else [n if n is not None else i for i, n in enumerate(self.names)]
-        return self._frame._select(dict(zip(names, self._cols)))
+        out = self._frame._select(dict(zip(names, self._cols)))
+        return out if index else out.reset_index(drop=True)
 
     def to_pandas(self):
         rows = self._frame.df.orderBy(*self._frame._by).select(*[c.alias(f"k{i}") for i, c in enumerate(self._cols)]).toPandas()
@@ -919,7 +925,7 @@ class Index(_Named):
         return self
 
     def copy(self, name=None):
-        return Index(self._frame, self._cols, self.names)
+        return Index(self._frame, self._cols, self.names) if name is None else self.rename(name)
 
     view = copy
 
@@ -970,7 +976,8 @@ class Index(_Named):
         return self.unique()
 
     def union(self, other, sort=None):
-        """Every value as often as in the side that holds it more often."""
+        """Every value as often as in the side that holds it more often; sorted whatever *sort* is."""
+        only(sort=(sort, None, False, True))
         df, cols = self._rows()
         a, b = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("na")), self._other(other).groupBy(*cols).agg(F.count(F.lit(1)).alias("nb"))
         both = a.unionByName(b, allowMissingColumns=True).groupBy(*cols).agg(F.greatest(F.coalesce(F.max("na"), F.lit(0)), F.coalesce(F.max("nb"), F.lit(0))).alias("n"))
@@ -981,13 +988,16 @@ class Index(_Named):
         return self._made(df.intersect(self._other(other)), cols)
 
     def difference(self, other, sort=None):
+        only(sort=(sort, None, False, True))
         df, cols = self._rows()
         return self._made(df.subtract(self._other(other)), cols)
 
     def symmetric_difference(self, other, result_name=None, sort=None):
+        only(sort=(sort, None, False, True))
         df, cols = self._rows()
         o = self._other(other)
-        return self._made(df.subtract(o).union(o.subtract(df)), cols)
+        out = self._made(df.subtract(o).union(o.subtract(df)), cols)
+        return out if result_name is None else out.rename(result_name)
 
     __xor__ = symmetric_difference
 
@@ -1029,7 +1039,7 @@ class Index(_Named):
     def take(self, indices):
         return self._frame.iloc[list(indices)].index
 
-    def sort(self, *args, **kwargs):
+    def sort(self):
         raise TypeError("an index is sorted by sort_values")
 
     def sort_values(self, ascending=True):
@@ -1156,6 +1166,7 @@ class Index(_Named):
         return np.array(sorted(r[0] for r in found))
 
     def indexer_at_time(self, time, asof=False):
+        only(asof=(asof, False))
         return self.indexer_between_time(time, time)
 
     def __getattr__(self, name):

@@ -122,13 +122,15 @@ def read_sql(sql, con, index_col=None, columns=None, **options):
 
 
 def read_excel(io_, sheet_name=0, header=0, names=None, index_col=None, schema=None, **options):
-    """One workbook is read on the driver; a folder of them by executors, each file whole, with the first one's columns."""
+    """One workbook is read on the driver; a folder of them by executors, each file whole, with the columns of *schema* or the first one's."""
     read = lambda x: pd.read_excel(x, sheet_name=sheet_name, header=header, names=names, **options)
     if not isinstance(io_, str):
         return from_pandas(read(io_))
     files = _spark().read.format("binaryFile").load(io_)
-    first = from_pandas(read(io.BytesIO(files.orderBy("path").select("content").first()[0])))
-    made = first.to_spark().schema
+    if schema is not None:
+        made = _spark().createDataFrame([], schema).schema
+    else:
+        made = from_pandas(read(io.BytesIO(files.orderBy("path").select("content").first()[0]))).to_spark().schema
 
     def sheets(frames):
         for pdf in frames:
