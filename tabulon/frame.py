@@ -150,16 +150,20 @@ class Frame(_Named):
         df = self.df if df is None else df
         extra = [F.col(f"`{c}`").alias(h) for c, h in hidden.items() if h != c]
         out = df.select(*[F.col(f"`{k}`") for k in kept], *extra, *[c.alias(physical(k)) for k, c in columns.items()])
-        origin = (self.df, dict(columns)) if df is self.df else None
+        origin = (self.df, dict(columns), self) if df is self.df else None
         return self._new(df=out, labels=list(columns), cols=names, order=[hidden[c] for c in self._order], origin=origin)
 
     def _over(self, base: "Frame") -> "Frame | None":
         """label -> series over *base*'s table, if this is that table or made from it column by column."""
         if self.df is base.df:
             return {x: self._series(x) for x in self._labels}
-        table, made = self._s.get("origin") or (None, {})
+        table, made, _ = self._s.get("origin") or (None, {}, None)
         return {x: Series(base, c, x) for x, c in made.items()} if table is base.df else None
 
+    def _plain(self, s: "Series") -> bool:
+        """Whether *s* is a column of its own frame as it stands."""
+        return repr(s.col) == repr(F.col(f"`{physical(s.name)}`"))
+
     def _rows(self, df: DataFrame) -> "Frame":
         """The same columns over other rows."""
         return self._new(df=df)
@@ -240,14 +244,20 @@ class Frame(_Named):
     def _assigned(self, new: dict) -> "Frame":
         """Columns added or replaced; series of other tables join on the index, all in one go."""
         new = {k: v(self) if callable(v) and not isinstance(v, (Series, Column)) else v for k, v in new.items()}
+        for k, v in new.items():  # a column of a table that is made from this one column by column
+            if isinstance(v, Series) and v._frame.df is not self.df and (here := (v._frame._over(self) or {}).get(v.name)) is not None and self._plain(v):
+                new[k] = here
         foreign = {k: v for k, v in new.items() if isinstance(v, Series) and v._frame.df is not self.df}
-        table, made = self._s.get("origin") or (None, {})
-        if foreign and len(foreign) == len(new) and all(v._frame.df is table for v in foreign.values()):
-            first = next(iter(foreign.values()))._frame  # taken before the last assignment: both are columns of that table
-            return first._select(made | {k: v.col for k, v in foreign.items()})
+        table, made, source = self._s.get("origin") or (None, {}, None)
+        made = {x: made[x] for x in self._labels} if all(x in made for x in self._labels) else None
+        if foreign and len(foreign) == len(new) and made is not None:  # are both columns of the table that this one is made from?
+            of = lambda v: v.col if v._frame.df is table else (v._frame._over(source) or {}).get(v.name) if self._plain(v) else None
+            found = {k: of(v) for k, v in foreign.items()}
+            if all(v is not None for v in found.values()):
+                return source._select(made | {k: v.col if isinstance(v, Series) else v for k, v in found.items()})
         frame = _windowed(self, list(foreign.values())) if foreign else None
         if frame is not None:  # windows over the rows of one table: computed together, nothing to join
-            made = made if table is not None and self.df is not frame[0] else {x: F.col(f"`{c}`") for x, c in zip(self._labels, self._cols)}
+            made = made if made is not None and self.df is not frame[0] else {x: F.col(f"`{c}`") for x, c in zip(self._labels, self._cols)}
             rest = {k: v.col if isinstance(v, (Series)) else v if isinstance(v, Column) else F.lit(v) for k, v in new.items()}
             return frame[1]._select(made | rest)
         frame, found = _aligned(self, list(foreign.values()), "left") if foreign else (self, [])
@@ -430,7 +440,7 @@ class Frame(_Named):
         names = [] if index_col is None else as_list(index_col)
         if names and len(names) != len(self._keys):
             raise ValueError(f"{len(self._keys)} index names are needed")
-        return self.df.select(*[F.col(k).alias(n) for k, n in zip(self._keys, names)], *[F.col(f"`{c}`") for c in self._cols])
+        return self.df.select(*[F.col(k).alias(n) for k, n in zip(self._keys, names)], *[F.col(f"`{c}`").alias(physical(x)) for x, c in zip(self._labels, self._cols)])
 
     def to_pandas(self) -> pd.DataFrame:
         rows = self.df.orderBy(*self._by).select(*self._keys, *[F.col(f"`{c}`") for c in self._cols]).toPandas()
@@ -1223,7 +1233,7 @@ def _windowed(frame: Frame, others: list["Series"]):
     from .operators.windows import columns
 
     remembered = lambda df: df.__dict__.get("_tabulon_windows")
-    table = (frame._s.get("origin") or (None, {}))[0]
+    table = (frame._s.get("origin") or (None,))[0]
     mine = remembered(frame.df) or (remembered(table) if table is not None else None)
     source = mine[0] if mine else frame
     specs = dict(mine[1]) if mine else {}

@@ -778,3 +778,5 @@ for _name, _sql in {"bitwise_and": "a & b", "bitwise_or": "a | b", "bitwise_xor"
         e = events(spark, sf)
         a, b = e.index.to_series() + 1, e["user_id"] + 1
         return getattr(np, name)(a, 2 if "shift" in name else b).astype("int").to_frame("y").to_spark("event_id")
+
+from . import interface_queries as _interface_queries  # noqa: E402, F401  registers its queries too

@@ -595,7 +595,7 @@ class Series(_Named):
 
     def argsort(self) -> "Series":
         rows = self._positioned()
-        at = ordered.positions(rows.drop(ordered.POS).withColumn("__from__", F.col(ordered.POS)), [F.asc_nulls_last("__v__"), F.asc("__from__")])
+        at = ordered.positions(rows.withColumnRenamed(ordered.POS, "__from__"), [F.asc_nulls_last("__v__"), F.asc("__from__")])
         source = F.when(F.col("__v__").isNull(), -1).otherwise(F.col("__from__"))
         out = Frame(at.select(F.col(ordered.POS).alias("at"), source.alias("from")), index_col="at", order="at")
         return Series(out._new(names=[None]), F.col("from"), self.name)
@@ -1096,13 +1096,13 @@ class Index(_Named):
     is_unique = property(lambda self: not self.has_duplicates)
     hasnans = property(lambda self: self._s.hasnans)
 
-    def _ordered(self, ok):
+    def _in_order(self, ok):
         x = self._cols[0] if len(self._cols) == 1 else F.struct(*self._cols)
         return Series(self._frame, x, "__x__")._monotonic(ok)
 
-    is_monotonic_increasing = property(lambda self: self._ordered(operator.le))
+    is_monotonic_increasing = property(lambda self: self._in_order(operator.le))
     is_monotonic = is_monotonic_increasing
-    is_monotonic_decreasing = property(lambda self: self._ordered(operator.ge))
+    is_monotonic_decreasing = property(lambda self: self._in_order(operator.ge))
 
     def is_numeric(self):
         return isinstance(self.kind, T.NumericType)
