@@ -25,6 +25,8 @@ LEAST_SHARE, MOST_SHARE, LEAST_DOCS = 1e-4, 0.1, 2
 RATES = (5, 6, 7, 8, 9, 10)  # powers of two a term is kept by
 PER_RATE = 8
 SEED = 11
+#: The seed of the hash, which an empty array leaves as it is.
+NONE = 42
 BROADCAST_TERMS = 2_000_000
 ORDER_BUCKET = 512
 
@@ -57,6 +59,7 @@ def _order_bucket(ids: Column, bounds: list[int]) -> Column:
 def with_next(docs: DataFrame, per_bucket: int = ORDER_BUCKET) -> DataFrame:
     """doc_id, text of *docs* in ascending order in buckets: bucket, extra, doc_id, text, next_text, place.
 
+    A bucket is never null, which Spark knows, so that all uses of the sorted rows share one shuffle.
     Buckets are ranges of ids between approximate quantiles (long literals, one for each
     *per_bucket* rows, at most 65,536). After its rows each bucket holds one extra row, the first of
     the next bucket, the first bucket following the last; so the next document is always the next row.
@@ -72,7 +75,7 @@ def with_next(docs: DataFrame, per_bucket: int = ORDER_BUCKET) -> DataFrame:
     heads = heads.select(F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.last("bucket").over(around)).alias("before"), "id")
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     first = rows.join(F.broadcast(heads), key == F.col("id")).groupBy("before", "doc_id").agg(F.min("text").alias("text"))
-    rows = rows.unionAll(first.select(F.col("before").alias("bucket"), F.lit(1).alias("extra"), "doc_id", "text"))
+    rows = rows.unionAll(first.select(F.coalesce("before", F.lit(0)).alias("bucket"), F.lit(1).alias("extra"), "doc_id", "text"))
     line = Window.partitionBy("bucket").orderBy("extra", F.asc_nulls_first("doc_id"), "text")
     return rows.select("*", F.lead("text").over(line).alias("next_text"), F.row_number().over(line).alias("place"))
 
@@ -96,13 +99,8 @@ def subsets() -> list[tuple[int, int]]:
 
 
 def parts(sorted_terms: Column) -> Column:
-    """The hash of each subset's terms, in their order; null where there is none."""
-
-    def part(mask: int, pattern: int) -> Column:
-        kept = F.filter(sorted_terms, lambda x: x.bitwiseAND(F.lit(mask)) == F.lit(pattern)) if mask else sorted_terms
-        return F.when(F.size(kept) > 0, F.xxhash64(kept))
-
-    return F.array(*[part(*s) for s in subsets()])
+    """The hash of each subset's terms, in their order; NONE, the hash of no terms, where there is none."""
+    return F.array(*[F.xxhash64(F.filter(sorted_terms, lambda x: x.bitwiseAND(F.lit(m)) == F.lit(p)) if m else sorted_terms) for m, p in subsets()])  # noqa: B023
 
 
 def _text_of(parts: Column) -> Column:
@@ -130,9 +128,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     both = known
     for side, c in (("a", "text"), ("b", "edited")):
         each = rows.select("bucket", "place", F.explode(terms(F.col(c))).alias("t")).select("bucket", "place", F.xxhash64("t").alias("term")).join(band, "term")
-        held = each.groupBy("bucket", "place").agg(F.sort_array(F.collect_set("term")).alias(f"terms_{side}"))
+        held = each.groupBy("bucket", "place").agg(F.sort_array(F.collect_set("term")).alias("terms")).select("bucket", "place", parts(F.col("terms")).alias(f"parts_{side}"))
         both = both.join(held, ["bucket", "place"], "left")  # a text without lexicon terms has no row there
-    own = lambda s: F.when(F.col(f"terms_{s}").isNull(), F.array_repeat(F.col(f"all_{s}"), len(subsets()))).otherwise(parts(F.col(f"terms_{s}")))
+    own = lambda s: F.coalesce(F.transform(f"parts_{s}", lambda x: F.when(x != NONE, x)), F.array_repeat(F.col(f"all_{s}"), len(subsets())))
     both = both.select("bucket", "place", "extra", "doc_id", "n_chars", "edited_sha256", own("a").alias("pa"), own("b").alias("pb"))
     after = F.lead("pa").over(Window.partitionBy("bucket").orderBy("place"))
     both = both.withColumn("pn", after).where("extra = 0")
