@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
 
+BATCH_ROWS = 1_000
 #: A word: a run without the six ASCII white-space characters.
 WORD = r"[^ \t-\r]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read ``<sf_dir>/<name>.parquet`` and see to it that Python workers can import this package."""
+    """Read ``<sf_dir>/<name>.parquet`` and see to it that Python workers can import this package.
+
+    Arrow batches are set to BATCH_ROWS rows: texts may be long, and a worker holds several copies of a batch.
+    """
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

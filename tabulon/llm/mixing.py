@@ -23,6 +23,7 @@ BLOCK_WORDS = 4_096
 #: The draw's limit is 10**9 blocks in all: a block holds more words where a mix would have more than these.
 MOST_BLOCKS = 1 << 29
 SHARD_BLOCKS = 512
+TREE_LEVELS = 6
 SLICE_DOCS = 4_096
 SEED = 20_240_607
 #: Multipliers of the block permutation; of so many primes one never divides a count below 2**31.
@@ -60,25 +61,32 @@ def split_tree(quotas: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int =
     nodes = nodes.select(F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("hi"), "has")
     schema = nodes.schema
 
-    def halve(frames):
-        for pdf in frames:
-            out = []
-            for lo, hi, has in pdf.itertuples(index=False):
-                if hi - lo == 1 or not len(has):
-                    out.append((lo, hi, has))
-                    continue
-                mid = (lo + hi) // 2
-                counts = np.array([x["n"] for x in has], dtype=np.int64)
-                left = mid * total // shards - lo * total // shards
-                take = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(counts, left, method="marginals").tolist()
-                out.append((lo, mid, [{"sid": x["sid"], "first": x["first"], "n": k} for x, k in zip(has, take) if k]))
-                out.append((mid, hi, [{"sid": x["sid"], "first": x["first"] + k, "n": x["n"] - k} for x, k in zip(has, take) if x["n"] > k]))
-            yield pd.DataFrame(out, columns=["lo", "hi", "has"])
-
-    for depth in range((shards - 1).bit_length()):
-        nodes = nodes.mapInPandas(halve, schema)
-        if depth % 8 == 7:
-            nodes = nodes.repartition("lo")
+    def halved(level):
+        for lo, hi, has in level:
+            if hi - lo == 1 or not len(has):
+                yield lo, hi, has
+                continue
+            mid = (lo + hi) // 2
+            counts = np.array([x["n"] for x in has], dtype=np.int64)
+            left = mid * total // shards - lo * total // shards
+            take = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(counts, left, method="marginals").tolist()
+            yield lo, mid, [{"sid": x["sid"], "first": x["first"], "n": k} for x, k in zip(has, take) if k]
+            yield mid, hi, [{"sid": x["sid"], "first": x["first"] + k, "n": x["n"] - k} for x, k in zip(has, take) if x["n"] > k]
+
+    def descend(levels: int):
+        def below(frames):
+            for pdf in frames:
+                rows = list(pdf.itertuples(index=False, name=None))
+                for _ in range(levels):
+                    rows = list(halved(rows))
+                yield pd.DataFrame(rows, columns=["lo", "hi", "has"])
+
+        return below
+
+    depth = (shards - 1).bit_length()
+    for done in range(0, depth, TREE_LEVELS):  # so many levels in one worker, then the nodes are spread anew
+        nodes = nodes.repartition("lo") if done else nodes
+        nodes = nodes.mapInPandas(descend(min(TREE_LEVELS, depth - done)), schema)
     return nodes.select(F.col("lo").alias("shard"), F.explode("has").alias("x")).select("shard", "x.sid", "x.first", "x.n")
 
 

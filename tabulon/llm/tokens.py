@@ -26,7 +26,7 @@ TOKENIZER = "byte_bpe_50k.json"
 CHUNK_CHARS = 8_192
 OVERLAP_CHARS = 128
 #: Pre-tokens that a worker keeps, and the longest of them.
-KNOWN, KNOWN_CHARS = 600_000, 64
+KNOWN, KNOWN_CHARS = 400_000, 64
 
 
 def _stable(text: str, p: int, special: tuple[str, ...]) -> bool:

@@ -102,9 +102,9 @@ class Model:
         """The highest margin among each unit's windows, by so many windows at a time, however long a unit is."""
         out = np.full(len(units), -np.inf)
         owner, windows = windows_of(units)
-        for k in range(0, len(windows), 8_192):
-            codes, weights = features(windows[k : k + 8_192])
-            np.maximum.at(out, owner[k : k + 8_192], (self.weights[codes] * weights).sum(axis=1) + self.bias)
+        for k in range(0, len(windows), 2_048):
+            codes, weights = features(windows[k : k + 2_048])
+            np.maximum.at(out, owner[k : k + 2_048], (self.weights[codes] * weights).sum(axis=1) + self.bias)
         return out
 
     def score(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -118,8 +118,8 @@ _known_for: list = [None, 0]
 
 
 def top_units(texts: list[str | None], model: Model, n: int = 2) -> list[list[tuple[float, str]]]:
-    """The n highest (margin, unit) of each text. Margins of units are kept in the worker, up to 400,000 or 32 MB of characters."""
-    if _known_for[0] != model.token or len(_known) > 400_000 or _known_for[1] > 1 << 25:
+    """The n highest (margin, unit) of each text. Margins of units are kept in the worker, up to 200,000 or 16 MB of characters."""
+    if _known_for[0] != model.token or len(_known) > 200_000 or _known_for[1] > 1 << 24:
         _known.clear()
         _known_for[:] = model.token, 0
     sets = [units_of(t) for t in texts]
@@ -306,9 +306,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            texts, first, second = b.column(0).field("text").to_pylist(), [], []
+            texts, first, second = b.column(0).field("text"), [], []
             for k in range(0, len(texts), 256):
-                for g in top_units(texts[k : k + 256], shared.value):
+                for g in top_units(texts.slice(k, 256).to_pylist(), shared.value):
                     first.append(g[0][0] if g else FLOOR)
                     second.append(g[1][0] if len(g) > 1 else FLOOR)
             values = shared.value.score(np.array(first, dtype=float), np.array(second, dtype=float))
