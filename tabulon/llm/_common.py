@@ -71,9 +71,14 @@ def hex64(c) -> "F.Column":
     return F.lpad(F.lower(F.hex(c)), 16, "0")
 
 
+def whole(docs: DataFrame) -> "F.Column":
+    """All columns of a row as a struct, whatever their names: beside it an operator's own columns clash with none."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in docs.columns])
+
+
 def row_key(docs: DataFrame) -> "F.Column":
     """A hash of a row's whole content: equal rows, which nothing tells apart, share one, others don't."""
-    return F.unhex(F.sha2(F.to_json(F.struct(*docs.columns)), 256))
+    return F.unhex(F.sha2(F.to_json(whole(docs)), 256))
 
 
 def source_order(df: DataFrame, keys: list[str], name: str = "position") -> DataFrame:

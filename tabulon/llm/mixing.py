@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, cut, row_key, source_order
+from ._common import WORD, cut, row_key, source_order, whole
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -162,7 +162,7 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_
     pieces = mix(docs, seed, block_words, shard_blocks).where("shard is not null")
     runs = pieces.groupBy("doc_id", "source", "size", "copy", "lap").agg(F.min_by(F.struct("shard", "position"), "from_word").alias("_at"), F.sum("words").alias("_take"))
     runs = runs.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copy").alias("_nth"), "_at", "_take")
-    keyed = docs.select(F.struct(*docs.columns).alias("doc"), row_key(docs).alias("_key"))  # whatever its columns are called
+    keyed = docs.select(whole(docs).alias("doc"), row_key(docs).alias("_key"))  # whatever its columns are called
     light = docs.select("doc_id", "source", n_words().alias("size"), row_key(docs).alias("_key")).groupBy("doc_id", "source", "size", "_key").agg(F.count(F.lit(1)).alias("same"))
     alike = Window.partitionBy("doc_id", "source", "size").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
     light = light.withColumn("from", F.coalesce(F.sum("same").over(alike), F.lit(0)))
@@ -175,5 +175,5 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, block_words: int = BLOCK_
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    rows = rows.select("_at", F.struct(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]).alias("doc"))
+    rows = rows.select("_at", F.struct(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns]).alias("doc"))
     return rows.repartitionByRange("_at").sortWithinPartitions("_at").select("doc.*")

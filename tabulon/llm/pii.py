@@ -16,7 +16,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, whole
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -140,8 +140,8 @@ def _extracted(docs: DataFrame, keep: list[str]) -> DataFrame:
     """doc (a struct of *keep*), row, base and seen for each row of *docs*; written once."""
     from pyspark.sql.types import StructType
 
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc")).schema
+    rows = docs.select(whole(docs).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    kept = docs.select(whole(docs).alias("doc")).select(F.struct(*[F.col("doc")[c].alias(c) for c in keep]).alias("doc")).schema
     out = StructType([*kept.fields, *StructType.fromDDL(f"row long, base {_SPAN}, seen {_SEEN}").fields])
 
     def extract(batches):
@@ -159,7 +159,7 @@ def _extracted(docs: DataFrame, keep: list[str]) -> DataFrame:
             part = pa.StructArray.from_arrays([doc.field(c) for c in keep], keep)
             yield pa.RecordBatch.from_arrays([part, b.column(1), pa.array(base, kinds.field(2).type), pa.array(seen, kinds.field(3).type)], kinds.names)
 
-    return cut(rows.select(F.struct(*[F.col(f"doc.`{c}`") for c in dict.fromkeys([*keep, "text"])]).alias("doc"), "row").mapInArrow(extract, out))
+    return cut(rows.select(F.struct(*[F.col("doc")[c].alias(c) for c in dict.fromkeys([*keep, "text"])]).alias("doc"), "row").mapInArrow(extract, out))
 
 
 def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, least_seeds: float = LEAST_SEEDS, confidence: float = CONFIDENCE, doubt: float = DOUBT) -> DataFrame:

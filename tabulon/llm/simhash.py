@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, hex64, row_key
+from ._common import cut, hex64, row_key, whole
 from .graph import components
 
 DISTANCE = 2
@@ -111,11 +111,12 @@ def keep_representatives(docs: DataFrame, distance: int = DISTANCE, width: int =
     """The rows of *docs*, one for each component: the one with its smallest doc_id, nulls last.
 
     Rows are told apart by their content, not by doc_id: a null id keeps its row where no other row of
-    the component has one, and texts of different components under one id all stay.
+    the component has one, and texts of different components under one id all stay. Columns of *docs* may
+    have any names beside doc_id and text; an empty table gives an empty one.
     """
-    keyed = docs.withColumn("_key", row_key(docs))
-    fps = cut(fingerprints(keyed, width, "doc_id long, _key binary"))
+    keyed = docs.select(whole(docs).alias("doc"), row_key(docs).alias("_key"))
+    fps = cut(fingerprints(keyed.select("doc.doc_id", "doc.text", "_key"), width, "doc_id long, _key binary"))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key")
     placed = _placed(fps.groupBy("fp").agg(F.min(order).alias("least")), distance, blocks, bucket)
     kept = placed.groupBy("root").agg(F.min("least")["_key"].alias("_key")).select("_key")
-    return keyed.dropDuplicates(["_key"]).join(kept, "_key", "left_semi").select(docs.columns)
+    return keyed.dropDuplicates(["_key"]).join(kept, "_key", "left_semi").select("doc.*")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, whole
 
 GAP = 0.7
 SPAN = 6
@@ -300,7 +300,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    rows = docs.select(whole(docs).alias("doc"))
 
     def scored(batches):
         import pyarrow as pa

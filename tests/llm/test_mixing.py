@@ -82,6 +82,9 @@ def test_odd_rows(spark, odd, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
     docs = mixing.mixed_documents(odd)
     assert docs.columns == odd.columns
+    named = odd.withColumns({"_key": F.lit(1), "_at": F.lit(2), "doc": F.lit(3), "a.b": F.lit("x")})
+    again = mixing.mixed_documents(named)
+    assert again.columns == named.columns and {tuple(r[-4:]) for r in again.collect()} == {(1, 2, 3, "x")} and again.count() == docs.count()
     words = sum(len(re.findall(r"[^ \t-\r]+", r.text)) for r in docs.collect())
     assert abs(words - sum(u.taken for u in units)) == 0
 

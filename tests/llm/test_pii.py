@@ -138,5 +138,5 @@ def test_hidden_seeds_are_found_with_precision(spark):
 
 
 def test_clashing_names(spark):
-    t = spark.createDataFrame([(1, "call +49 30 1234567890", 1, 2, 3)], "doc_id long, text string, base int, row int, doc int")
-    assert pii.mask(t).collect()[0] == (1, "call [PHONE]", 1, 2, 3)
+    t = spark.createDataFrame([(1, "call +49 30 1234567890", 1, 2, 3, "x")], "doc_id long, text string, base int, row int, doc int, `a.b` string")
+    assert pii.mask(t).collect()[0] == (1, "call [PHONE]", 1, 2, 3, "x") and pii.mask(t).columns == t.columns

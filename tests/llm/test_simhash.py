@@ -89,3 +89,12 @@ def test_representatives_are_rows_not_ids(spark):
     rows = [(None, text[0]), (None, text[0]), (7, text[1]), (7, text[2]), (5, text[1]), (None, text[1]), (None, text[3])]
     kept = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([(None, text[0]), (5, text[1]), (7, text[2]), (None, text[3])], kept.schema).collect()))
+
+
+def test_clashing_names(spark):
+    names = ["doc_id", "text", "_key", "doc", "fp", "root", "least", "a.b", "c`d"]
+    rows = [(i, f"one two three four {i // 2}", "k", "d", 1, 2, 3, f"x{i}", "y") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, doc string, fp int, root int, least int, `a.b` string, `c``d` string")
+    kept = simhash.keep_representatives(docs)
+    assert kept.columns == names and kept.schema["_key"].dataType.typeName() == "string"
+    assert {tuple(r) for r in kept.collect()} <= set(rows) and {0, 2} >= {r[0] for r in kept.collect()}

@@ -2,6 +2,7 @@ import time
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tabulon.llm import queries, toxicity
 
@@ -68,6 +69,9 @@ def test_odd_rows(spark, odd, empty):
     assert toxicity.score(odd, toxicity.fit(odd, labels)).count() == 10
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
     none = labels.limit(0)
+    named = odd.withColumns({"toxicity": F.lit(1), "doc": F.lit(2), "a.b": F.lit("x")})
+    kept = toxicity.score(named, toxicity.fit(named, none)).select("doc.*")
+    assert kept.columns == named.columns and kept.count() == 10
     assert toxicity.score(odd, toxicity.fit(odd, none)).count() == 10
 
 
