@@ -573,6 +573,18 @@ def registered_accessor(spark, sf):
     return t(spark, sf, "part", "p_partkey").doubler.size().to_spark("p_partkey")
 
 
+@query("""WITH b AS (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events),
+ m AS (SELECT DISTINCT unnest([lo, (3 * lo + hi) // 4, (lo + hi) // 2, (lo + 3 * hi) // 4, hi]) AS mark FROM b)
+ SELECT CAST(mark AS BIGINT) AS mark, max_by(value, event_id) AS value FROM m JOIN events ON event_id <= mark WHERE value IS NOT NULL GROUP BY mark""")
+def series_asof(spark, sf):
+    """The last value at or before marks that span all ids."""
+    e = events(spark, sf)
+    lo, hi = e.index.min(), e.index.max()
+    marks = sorted({lo, (3 * lo + hi) // 4, (lo + hi) // 2, (lo + 3 * hi) // 4, hi})
+    found = e["value"].asof(marks).to_pandas()
+    return spark.createDataFrame([(int(k), float(v)) for k, v in found.items()], "mark long, value double")
+
+
 # ---- data of plots -------------------------------------------------------------------------------------
 @query("SELECT CAST(b AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n FROM (SELECT least(floor((value - lo) / ((hi - lo) / 10)), 9) AS b FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events)) GROUP BY 1")
 def plot_histogram(spark, sf):
