@@ -5,6 +5,8 @@ Single values are returned as rows (name, value) with the value as text.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -25,6 +27,15 @@ def fact_sql(source: str, **values) -> str:
     return " UNION ALL ".join(f"SELECT DISTINCT '{k}' AS name, CAST({v} AS VARCHAR) AS value FROM {source}" for k, v in values.items())
 
 
+def rounded_text(x: float | None, digits: int) -> str | None:
+    """The text that SQL gives for round(x, digits): half away from zero, no exponent below 1e16."""
+    scale = 10.0**digits
+    if x is None or not math.isfinite(x * scale):
+        return None if x is None else str(x)
+    whole = math.floor(abs(x) * scale)
+    return str(math.copysign((whole + (abs(x) * scale - whole >= 0.5)) / scale, x))
+
+
 # ---- named arithmetic and comparisons ------------------------------------------------------------------
 SMALL = "(SELECT o_orderkey, (o_custkey % 9 + 1)::DOUBLE AS b FROM orders)"
 
@@ -112,10 +123,9 @@ def frame_dot(spark, sf):
 @query(fact_sql("events", dot="round(sum(value * user_id), 4)", matmul="round(sum(value * value), 4)"))
 def series_dot(spark, sf):
     e = events(spark, sf)
-    row = facts(spark, dot=0)
     v, u = e["value"], e["user_id"].astype("float")
-    row = spark.createDataFrame([("dot", float(v.dot(u))), ("matmul", float(v @ v))], "name string, v double")
-    return row.select("name", F.round("v", 4).cast("string").alias("value")).where("name is not null")
+    rows = [("dot", rounded_text(v.dot(u), 4)), ("matmul", rounded_text(v @ v, 4))]
+    return spark.createDataFrame(rows, "name string, value string")
 
 
 @query("SELECT c_custkey, upper(c_name) AS c_name, c_nationkey + 1 AS n FROM customer")
