@@ -251,7 +251,9 @@ def xs_level(spark, sf):
 
 @query("SELECT event_id FROM events WHERE strftime(ts, '%H:%M:%S') = '10:00:00'")
 def at_time(spark, sf):
-    return t(spark, sf, "events").set_index("ts").at_time("10:00:00")[["event_id"]].to_spark()
+    e = t(spark, sf, "events")
+    e["ts"] = e["ts"].dt.floor("s")  # at_time means the exact time; the SQL any fraction of that second
+    return e.set_index("ts").at_time("10:00:00")[["event_id"]].to_spark()
 
 
 @query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'x' ELSE n_name END AS n_name, CASE WHEN n_nationkey = 0 THEN 99 ELSE n_regionkey END AS n_regionkey FROM nation")

@@ -37,3 +37,8 @@ def agrees(spark, tmp_path):
 )
 def test_series_dot_text(agrees, values):
     assert agrees("series_dot", f"SELECT row_number() OVER () AS event_id, v::DOUBLE AS value, u::BIGINT AS user_id FROM (VALUES {values}) t(v, u)") == 2
+
+
+def test_at_time_within_the_second(agrees):
+    times = "('2024-01-01 10:00:00'), ('2024-01-02 10:00:00.25'), ('1960-02-29 10:00:00.999999'), ('2024-01-01 09:59:59.999999'), ('2024-01-01 10:00:01'), ('2024-01-01 22:00:00'), (NULL)"
+    assert agrees("at_time", f"SELECT row_number() OVER () AS event_id, s::TIMESTAMP AS ts FROM (VALUES {times}) t(s)") == 3
