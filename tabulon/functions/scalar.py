@@ -39,8 +39,10 @@ def truediv(a: Column, b: Column) -> Column:
 
 
 def floordiv(a: Column, b: Column) -> Column:
+    """The floor of the quotient; floor() gives longs, so what has no fraction anyway, infinities and NaN stay as they are."""
     a, b = a.cast("double"), b.cast("double")
-    return F.when(b == 0, by_zero(a)).otherwise(F.floor(a / b).cast("double"))
+    q = truediv(a, b)
+    return F.when(F.abs(q) < 2.0**53, F.floor(q).cast("double")).otherwise(q)
 
 
 def mod(a: Column, b: Column) -> Column:

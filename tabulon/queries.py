@@ -98,8 +98,8 @@ def eval_expression(spark, sf):
  FROM events WHERE value > 0""")
 def arithmetic(spark, sf):
     e = events(spark, sf)
-    e = e[e["value"] > 0]
-    m = e.index.to_series() % 5
+    e = e[tb.Series(e, e["value"].col > 0)]  # SQL's comparison, in which NaN is above all numbers
+    m = np.fmod(e.index.to_series(), 5)  # SQL's remainder has the sign of the dividend
     return e.assign(m=m, q=e["value"] / m, fl=e["value"] // m, neg=-e["value"], dist=(e["value"] - 100).abs(), sq=e["value"] * e["value"])[["m", "q", "fl", "neg", "dist", "sq"]].to_spark("event_id")
 
 

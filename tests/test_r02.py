@@ -42,3 +42,8 @@ def test_series_dot_text(agrees, values):
 def test_at_time_within_the_second(agrees):
     times = "('2024-01-01 10:00:00'), ('2024-01-02 10:00:00.25'), ('1960-02-29 10:00:00.999999'), ('2024-01-01 09:59:59.999999'), ('2024-01-01 10:00:01'), ('2024-01-01 22:00:00'), (NULL)"
     assert agrees("at_time", f"SELECT row_number() OVER () AS event_id, s::TIMESTAMP AS ts FROM (VALUES {times}) t(s)") == 3
+
+
+def test_arithmetic_on_odd_values(agrees):
+    rows = "(1, 'inf'), (2, 'nan'), (3, '1e300'), (4, '1e19'), (5, '5e-324'), (-7, '3.5'), (-5, '2.0'), (6, NULL), (NULL, '7.5'), (9, '9007199254740993.0'), (5, 'nan'), (8, '-inf')"
+    assert agrees("arithmetic", f"SELECT i::BIGINT AS event_id, v::DOUBLE AS value FROM (VALUES {rows}) t(i, v)") == 10
