@@ -1,23 +1,26 @@
 """Token counts by overlap resynchronisation.
 
-A text no longer than ``chunk_chars`` is encoded at once. A longer one is encoded in overlapping
-chunks with offsets. Two neighbouring chunks are spliced at a boundary that both encodings have and
+A text no longer than ``chunk_chars`` is encoded at once. A longer one is read in chunks that end with a
+proven pre-token or, where pre-tokens aren't known beforehand, is encoded in overlapping chunks with
+offsets. Two neighbouring chunks are spliced at a boundary that both encodings have and
 that is proven stable: the code point before it is a letter or a number and the one after it is of
 another class, so whatever precedes, a pre-token ends there. Where the encodings disagree the overlap is
 doubled; where the chunk holds no such boundary it is doubled itself, so that the work stays linear. The ids
 are those of the whole text; only one chunk's encoding is held at a time.
 
 All ids come from the library for the tokenizer's file. Of the byte-level vocabulary, whose pre-tokens are
-encoded one by one, a worker keeps the ids of those that it has seen.
+encoded one by one by its model, a worker keeps the ids of those that it has seen.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,6 +30,8 @@ CHUNK_CHARS = 8_192
 OVERLAP_CHARS = 128
 #: Pre-tokens that a worker keeps, and the longest of them.
 KNOWN, KNOWN_CHARS = 400_000, 64
+#: A pre-token that ends so many code points before a chunk's end is the same in the whole text (the pattern looks no further).
+LOOKAHEAD = 4
 
 
 def _stable(text: str, p: int, special: tuple[str, ...]) -> bool:
@@ -80,6 +85,32 @@ def _pattern(limit: int) -> str:
     return rf" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{numbers}]+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+"
 
 
+#: The byte-level alphabet: a visible Latin-1 character for each byte, so that no vocabulary entry holds a blank.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)}.difference(_VISIBLE)))}
+
+
+class Known(dict):
+    """The ids of byte-level pre-tokens as little-endian 32-bit integers; the library's model is asked for those not yet seen.
+
+    When full, the half that came first stays: frequent pre-tokens come early.
+    """
+
+    def __init__(self, tokenize: Callable, whole: Callable):
+        self.tokenize, self.whole = tokenize, whole
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > KNOWN_CHARS:
+            return self.whole(word).tobytes()
+        found = [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(_BYTES))]
+        if len(self) >= KNOWN:
+            first = list(islice(self.items(), KNOWN // 2))
+            self.clear()
+            self.update(first)
+        self[word] = ids = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
+
 class Encoder:
     """Ids of whole texts, as the library for the tokenizer's file gives them."""
 
@@ -106,37 +137,27 @@ class Encoder:
         #: Beyond U+024F the pattern and the library may class a code point otherwise (those up to it are compared in the tests).
         beyond = re.compile("[^\x00-ɏ]").search
         self.beyond = lambda text: any(s in text for s in self.special) or bool(beyond(text))
-        self.known: dict[str, bytes] = {}
-        (self.line,) = self.whole("\n").tolist()
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of distinct pre-tokens: as lines of one text, in which they stay apart, save those of white space."""
-        lines = [w for w in new if not w.isspace()]
-        ids = self.whole("\n".join(lines))
-        at, flat = [-1, *np.flatnonzero(ids == self.line).tolist(), len(ids)], ids.tobytes()
-        if lines and len(at) != len(lines) + 1:
-            raise AssertionError("a pre-token holds a line end")
-        found = {w: flat[4 * a + 4 : 4 * b] for w, a, b in zip(lines, at, at[1:])}
-        return found | {w: self.whole(w).tobytes() for w in new if w.isspace()}
-
-    def _looked_up(self, words: list[str]) -> dict[str, bytes]:
-        """A table that has every one of *words*."""
-        new = list(set(words).difference(self.known))
-        if not new:
-            return self.known
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = list(set(words))
-        found = self._learn(new)
-        self.known.update((w, p) for w, p in found.items() if len(w) <= KNOWN_CHARS)
-        return self.known if all(len(w) <= KNOWN_CHARS for w in new) else {**{w: self.known[w] for w in set(words) if w in self.known}, **found}
+        self.known = Known(self.library.model.tokenize, self.whole)
+
+    def _pretokens(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of *text*, read a chunk at a time: those that end right before a chunk's end are read again with the next."""
+        at, n, reach = 0, len(text), self.chunk
+        while at < n:
+            end = min(n, at + reach)
+            words, done = self.words(text, at, end), end
+            while end < n and words and done > end - LOOKAHEAD:
+                done -= len(words.pop())
+            if words:
+                yield words
+                at, reach = done, self.chunk
+            else:
+                reach *= 2
 
     def raw(self, text: str) -> bytes:
         """The ids of *text*, encoded at once, as little-endian 32-bit integers."""
         if self.words is None or self.beyond(text):
             return self.whole(text).tobytes()
-        words = self.words(text)
-        return b"".join(map(self._looked_up(words).__getitem__, words))
+        return b"".join(map(self.known.__getitem__, self.words(text)))
 
     def offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of *text* and where the token, or the pre-token that it belongs to, ends."""
@@ -144,13 +165,16 @@ class Encoder:
             e = self.library.encode(text, add_special_tokens=False)
             return np.array(e.ids, dtype="<u4"), np.array([b for _, b in e.offsets], dtype=np.int64)
         words = self.words(text)
-        parts = list(map(self._looked_up(words).__getitem__, words))
+        parts = list(map(self.known.__getitem__, words))
         ends = np.cumsum([len(w) for w in words], dtype=np.int64)
         return np.frombuffer(b"".join(parts), dtype="<u4"), np.repeat(ends, [len(p) // 4 for p in parts])
 
     def pieces(self, text: str) -> Iterator[bytes]:
         """The ids of *text*, a part at a time, as little-endian 32-bit integers."""
-        if len(text) > self.chunk:
+        if len(text) > self.chunk and self.words is not None and not self.beyond(text):
+            for words in self._pretokens(text):
+                yield b"".join(map(self.known.__getitem__, words))
+        elif len(text) > self.chunk:
             for ids in spliced(text, self.offsets, self.chunk, self.overlap, self.special):
                 yield ids.tobytes()
         elif text:

@@ -27,6 +27,18 @@ def test_known_pre_tokens_may_be_forgotten(monkeypatch):
             assert e.raw(t) == e.whole(t).tobytes(), t
 
 
+def test_each_pre_token_is_asked_for_once_and_long_texts_are_read_in_chunks():
+    r, e = random.Random(5), tokens.Encoder(tokens.TOKENIZER, 30, 8)
+    asked, ask = Counter(), e.known.tokenize
+    e.known.tokenize = lambda w: asked.update([w]) or ask(w)
+    for _ in range(300):
+        t = "".join(r.choice([*PARTS[:11], "'ll", "'ve", "'", "\t \n", " ab", "é ", "y" * 20]) for _ in range(r.randint(30, 200)))
+        parts = list(e.pieces(t))
+        assert b"".join(parts) == e.whole(t).tobytes(), t
+        assert len(parts) > 1 or len(t) < 60
+    assert asked and max(asked.values()) == 1
+
+
 @pytest.mark.parametrize("part", [" ", "!", "a", "\u0301", "日", "ab1 "])
 def test_splicing_is_linear(part):
     e, took = tokens.encoder(), []
