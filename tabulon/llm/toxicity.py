@@ -29,6 +29,8 @@ MAX_DOCS = 20_000
 MAX_UNITS = 20_000
 THRESHOLD = 0.3
 MUTATED = 100
+#: Units that the driver handles at a time when it fits.
+BLOCK = 256
 
 #: Sixty-four classes of characters; a triple of them is a feature. 0 pads.
 _LETTERS = "abcdefghijklmnopqrstuvwxyzßäöüéèêëàâîïôûùçñíóáú"
@@ -140,12 +142,17 @@ def top_units(texts: list[str | None], model: Model, n: int = 2) -> list[list[tu
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
     """Primal squared-hinge SVM by Newton steps; the last coefficient is the bias."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    w, keep = np.zeros(a.shape[1]), np.diag([ridge] * x.shape[1] + [1e-6])
+    d = x.shape[1] + 1
+    w, keep = np.zeros(d), np.diag([ridge] * (d - 1) + [1e-6])
     for _ in range(30):
-        on = y * (a @ w) < 1
-        b = a[on] * weight[on, None]
-        new = np.linalg.solve(keep + b.T @ a[on], b.T @ y[on])
+        left, right = keep.copy(), np.zeros(d)
+        for k in range(0, len(x), BLOCK):  # the driver holds no second copy of all rows
+            part, sign = np.hstack([x[k : k + BLOCK], np.ones((len(x[k : k + BLOCK]), 1))]), y[k : k + BLOCK]
+            on = sign * (part @ w) < 1
+            b = part[on] * weight[k : k + BLOCK][on, None]
+            left += b.T @ part[on]
+            right += b.T @ sign[on]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
@@ -173,13 +180,13 @@ def train_svm(units: list[str], y: np.ndarray, weight: np.ndarray, landmarks: li
     white = basis @ (vectors[:, keep] / np.sqrt(values[keep]))
     place = np.zeros(64**3, dtype=np.int64)
     place[used] = np.arange(len(used))
-    rows = []
-    for k in range(0, len(units), 1024):
-        _, codes, w = _whole(units[k : k + 1024])
+    rows = np.empty((len(units), white.shape[1]))
+    for k in range(0, len(units), BLOCK):
+        _, codes, w = _whole(units[k : k + BLOCK])
         phi = np.zeros((len(codes), len(used)), dtype=np.float32)
         np.add.at(phi, (np.repeat(np.arange(len(codes)), codes.shape[1]), place[codes].ravel()), w.ravel())
-        rows.append(phi @ white.astype(np.float32))
-    coef, bias = _svm(np.vstack(rows).astype(float), y, weight)
+        rows[k : k + BLOCK] = phi @ white.astype(np.float32)
+    coef, bias = _svm(rows, y, weight)
     folded = np.zeros(64**3, dtype=np.float32)
     folded[used] = white @ coef
     return Model(folded, bias)

@@ -81,3 +81,16 @@ def test_long_units_take_linear_time_and_bounded_memory():
         start = time.perf_counter()
         assert len(toxicity.top_units([t], model)[0]) >= 1
         assert time.perf_counter() - start < 10, t[:9]
+
+
+def test_fitting_holds_a_bounded_part_of_the_units_features():
+    import tracemalloc
+
+    r = np.random.default_rng(7)
+    units = ["".join(map(chr, r.integers(97, 123, 12))) for _ in range(20_000)]
+    y = np.where(r.random(len(units)) < 0.1, 1.0, -1.0)
+    tracemalloc.start()
+    toxicity.train_svm(units, y, np.ones(len(units)), units[:160])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * 8 * 160 * len(units)  # the driver's memory: not thrice the kernel rows
